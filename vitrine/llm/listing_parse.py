@@ -1,0 +1,179 @@
+"""Reads maker, line, kind, variant, net content and number of units from the free wording of a listing."""
+
+from __future__ import annotations
+
+import html
+import re
+import unicodedata
+
+from vitrine.llm import listing_words as words
+
+#: Millilitres or grams of a unit. Ounces mean either; the two differ by 4 %, content steps by 20 % and more, so one factor serves.
+UNIT = {"ml": 1, "millilitre": 1, "millilitres": 1, "cl": 10, "l": 1000, "litre": 1000, "litres": 1000, "g": 1, "gr": 1, "gram": 1, "grams": 1, "kg": 1000}
+OUNCE = {"oz", "ounce", "ounces", "fl oz", "fluid ounce", "fluid ounces"}
+FLUID = 29.5735
+MASS = 28.3495
+
+_SIZE = re.compile(r"(?<![\w.])(\d+(?:[.,]\d+)?)[\s-]*(fluid ounces?|fl\.? ?oz\.?|ounces?|oz\.?|millilitres?|ml|cl|litres?|l|grams?|gr|g|kg)(?![a-z])")
+_COUNTS = [
+    re.compile(r"(?<![\w.])(\d+) ?x (?=\d)"),
+    re.compile(r"(?:multipack|multi-pack) (\d+) units?"),
+    re.compile(r"(?:pack|set|box) of (\d+)(?!\w)"),
+    re.compile(r"(?<![\w.])(\d+)[ -]?(?:pack|pcs|pc|pieces?|count|ct|units)(?!\w)"),
+    re.compile(r"(?<!\w)x ?(\d+)(?!\w)"),
+]
+_WORD_COUNT = re.compile(r"(?<!\w)(" + "|".join(sorted(words.NUMBERS, key=len, reverse=True)) + r")(?: pieces?| pack)?(?!\w)")
+_TAGS = re.compile(r"<[^<>]{0,200}>")
+_FOLD = str.maketrans({"’": "'", "™": " ", "®": " ", "©": " ", "–": "-", "—": "-", " ": " "})
+
+
+def _phrases(pairs: list[tuple[str, object]]) -> tuple[re.Pattern, dict]:
+    """A pattern of all phrases, longest first, spaces and hyphens alike."""
+    table = {re.sub(r"[\s-]+", " ", p): v for p, v in pairs}
+    body = "|".join(re.escape(p).replace(r"\ ", r"[\s-]+") for p in sorted(table, key=len, reverse=True))
+    return re.compile(rf"(?<![\w])(?:{body})(?![\w])"), table
+
+
+_KIND = _phrases([(p, i) for i, group in enumerate(words.KINDS) for p in group])
+_SCENT = _phrases([*((s, s) for s in words.SCENTS), *((s, "unscented") for s in words.UNSCENTED)])
+_PRAISE = _phrases([(p, None) for p in words.PRAISE])
+_SUFFIX = re.compile(r"(?<![\w])(?:" + "|".join(re.escape(s) for s in words.MAKER_SUFFIXES) + r")(?![\w])")
+_JOIN = r"\s*(?:&|\+|/|and|\s)\s*"
+_BLEND = [(re.compile(rf"(?<!\w)(?:{a}{_JOIN}{b}|{b}{_JOIN}{a})(?!\w)"), f"{a}+{b}") for a, b in words.BLENDS]
+_SHADE_NAME = "|".join(sorted(words.SHADES.values(), key=len, reverse=True))
+_SHADE = re.compile(rf"(?<!\w)(?:(?:shade|no\.?|nr\.?|#)\s*)?#?(?:\d\d?\s+)?({_SHADE_NAME})(?:\s*\(\d+\))?(?!\w)")
+_SHADE_NO = re.compile(r"(?:(?<!\w)shade|(?<!\w)no\.|#)\s*#?(\d\d?)(?![\w.])")
+
+_MAKER_SAID = re.compile(r"(?:made by|from the house of|brand:)\s*([^\W\d_][\w'-]*)|([^\W\d_][\w'-]*)(?: (?:cosmetics|labs|official|gmbh|beauty co\.?))? quality(?!\w)")
+_LINE_SAID = re.compile(r"range:\s*([^\W\d_][\w'-]*)|part of the ([^\W\d_][\w'-]*) range|the ([^\W\d_][\w'-]*) line is")
+_VARIANT_SAID = re.compile(r"(?:this is the|variant:|option|you get:)\s+((?:no\. ?)?[^.<*\n]{2,40})")
+_FILLER = {"by", "scent", "fragrance", "version", "the", "of", "with", "and", "for", "per", "unit", "units", "pieces", "piece", "pack", "pcs", "shade", "no", "count", "made", "from", "in", "a", "an", "x", "set", "multipack"}
+
+
+def fold(text: str | None) -> str:
+    """Lower case, entities and tags resolved, accents and trade marks dropped, white space collapsed."""
+    if not text:
+        return ""
+    t = html.unescape(text).translate(_FOLD)
+    t = _TAGS.sub(" . ", t)
+    t = "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
+    return re.sub(r"[ \t\r\f\v]+", " ", t).strip()
+
+
+def net_content(t: str) -> tuple[float | None, str]:
+    """The first net content in millilitres or grams, and the text without any."""
+    found = None
+    for m in _SIZE.finditer(t):
+        unit = re.sub(r"\.", "", m[2])
+        unit = re.sub(r"\s+", " ", re.sub(r"^fl ?", "fl ", unit)) if unit.startswith("fl") and not unit.startswith("fluid") else unit
+        n = float(m[1].replace(",", "."))
+        found = n * UNIT[unit] if unit in UNIT else n * (FLUID if unit.startswith("fl") else (FLUID + MASS) / 2)
+        break
+    return found, _SIZE.sub(" ", t)
+
+
+def unit_count(t: str) -> tuple[int | None, str]:
+    """The stated number of units, and the text without it."""
+    found = None
+    for p in _COUNTS:
+        m = p.search(t)
+        if m and 1 < int(m[1]) < 1000:
+            found = found or int(m[1])
+            t = p.sub(" ", t)
+    for m in _WORD_COUNT.finditer(t):
+        whole = m[0]
+        if m[1] in ("duo", "trio", "twin pack", "single") or whole != m[1]:
+            found = found or words.NUMBERS[m[1]]
+            t = t.replace(whole, " ", 1)
+    return found, t
+
+
+def variant(t: str) -> tuple[str | None, str]:
+    """Scent or shade, and the text without it."""
+    for p, name in _BLEND:
+        if p.search(t):
+            return name, p.sub(" ", t)
+    m = _SCENT[0].search(t)
+    if m:
+        return _SCENT[1][re.sub(r"[\s-]+", " ", m[0])], _SCENT[0].sub(" ", t)
+    m = _SHADE.search(t)
+    if m:
+        return m[1], _SHADE.sub(" ", t)
+    m = _SHADE_NO.search(t)
+    if m and int(m[1]) in words.SHADES:
+        return words.SHADES[int(m[1])], _SHADE_NO.sub(" ", t)
+    return None, t
+
+
+def kind(t: str) -> tuple[int | None, str]:
+    """Index of the kind of product in KINDS, and the text without its wording."""
+    m = _KIND[0].search(t)
+    return (_KIND[1][re.sub(r"[\s-]+", " ", m[0])], _KIND[0].sub(" ", t)) if m else (None, t)
+
+
+def names(t: str) -> list[str]:
+    """What is left after everything known is taken out: words that name maker or line."""
+    t = _SUFFIX.sub(" ", _PRAISE[0].sub(" ", t))
+    return [w for w in re.findall(r"[^\W\d_][^\W\d_'-]*", t) if len(w) > 2 and w not in _FILLER]
+
+
+def parse(title: str | None, description: str | None, brand: str | None) -> tuple:
+    """(maker, line, kind, variant, content, count, names): what is stated, None for what is not. Title goes before description."""
+    t, d = fold(title), fold(description)
+    # known wordings first, so that 'honey' in 'honey & clove' or 'butter' in a kind is no name; praise goes before counts
+    t = _PRAISE[0].sub(" . ", t)
+    content, t = net_content(_pack_times(t))
+    count, t = unit_count(t)
+    k, t = kind(t)
+    v, t = variant(t)
+    d_content, d_rest = net_content(_pack_times(d))
+    d_count, d_rest = unit_count(d_rest)
+    d_kind, _ = kind(" . ".join(_kind_sentences(d_rest)))
+    said = _VARIANT_SAID.search(d)
+    d_variant = variant(said[1])[0] if said else None
+    m = _MAKER_SAID.search(d)
+    maker_said = next((g for g in m.groups() if g), None) if m else None
+    m = _LINE_SAID.search(d)
+    line_said = next((g for g in m.groups() if g), None) if m else None
+    b = fold(brand).strip(" .")
+    b = None if b in words.PLACEHOLDERS else next(iter(names(b)), None)
+    return b or maker_said, line_said, k if k is not None else d_kind, v or d_variant, content or d_content, count or d_count, names(t)
+
+
+def name_set(maker: str | None, line: str | None, rest: list[str]) -> list[str]:
+    """The sorted names of maker and line. What maker column or description say goes before a title's word that differs from it by a slip."""
+    known = [n for n in (maker, line) if n]
+    free = [w for w in dict.fromkeys(rest) if not any(slip(w, n) for n in known)]
+    return sorted({*known, *free[: max(0, 2 - len(known))]})
+
+
+def slip(a: str, b: str) -> bool:
+    """Whether two words are equal or differ by one letter added, left out, changed or swapped with the next."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 4:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    if len(a) == len(b):
+        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    return long[i + 1 :] == short[i:]
+
+
+def content_step(content: float | None) -> float | None:
+    """The usual content within 7 % of a stated one, else the stated one to two digits: rounding of converted units falls together."""
+    if not content or content <= 0:
+        return None
+    best = min(words.CONTENTS, key=lambda s: abs(content / s - 1))
+    return float(best) if abs(content / best - 1) <= 0.07 else float(f"{content:.1e}")
+
+
+def _pack_times(t: str) -> str:
+    """'12 x 300 g' keeps its count where the content is taken out."""
+    return re.sub(r"(?<![\w.])(\d+) ?x (?=\d+(?:[.,]\d+)? ?-?(?:fluid|fl|ounce|oz|mill|ml|cl|lit|l|g|kg))", r" pack of \1 ", t)
+
+
+def _kind_sentences(d: str) -> list[str]:
+    return re.findall(r"our ([^.*\n]+)|type: ([^.*\n]+)|an? ([^.*\n]+) you will like", d) and [" ".join(g) for g in re.findall(r"our ([^.*\n]+)|type: ([^.*\n]+)|an? ([^.*\n]+) you will like", d)]

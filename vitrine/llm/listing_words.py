@@ -1,0 +1,83 @@
+"""Words that sellers use for the same thing. Fixed values, in natural order."""
+
+# fixed values: wordings of one kind of product, first the plain one
+KINDS = [
+    ["shave cream", "shaving cream", "lather cream for shaving"],
+    ["beard oil", "oil for beards", "beard conditioning oil"],
+    ["eau de parfum", "perfume spray", "edp perfume"],
+    ["roll-on deodorant", "deo roll-on", "deodorant roller"],
+    ["face serum", "facial serum", "serum for face"],
+    ["bubble bath", "bath foam", "foam bath"],
+    ["bar soap", "soap bar", "solid soap"],
+    ["sea salt spray", "salt spray", "beach spray"],
+    ["shower gel", "body wash", "shower wash"],
+    ["body butter", "butter for body", "whipped body butter"],
+    ["clay mask", "mud mask", "purifying clay face mask"],
+    ["foot balm", "balm for feet", "heel balm"],
+    ["eye gel", "under-eye gel", "gel for eye area"],
+    ["styling paste", "hair paste", "texturising paste"],
+    ["curl foam", "curl mousse", "foam for curls"],
+    ["hand cream", "hand lotion", "cream for hands"],
+    ["nail polish", "nail lacquer", "nail varnish"],
+    ["conditioner", "hair conditioner", "rinse-out conditioner"],
+    ["hair mask", "mask for hair", "deep repair mask"],
+    ["sun fluid", "sunscreen fluid", "sun protection fluid"],
+    ["gel cleanser", "face wash", "facial cleansing gel"],
+    ["loose powder", "setting powder", "finishing powder"],
+    ["face scrub", "facial exfoliator", "exfoliating face polish"],
+    ["brow gel", "eyebrow gel", "gel for brows"],
+    ["toner", "toning water", "face tonic"],
+    ["scalp oil", "oil for scalp", "pre-wash scalp oil"],
+    ["room spray", "home fragrance spray", "air scent spray"],
+    ["leather balm", "balm for leather", "leather care cream"],
+    ["bath salt", "soaking salts", "salt bath soak"],
+    ["day cream", "daytime face cream", "daily moisturiser"],
+    ["night cream", "overnight cream", "sleeping cream"],
+    ["lip tint", "lip stain", "tinted lip stain"],
+    ["lip balm", "balm for lips", "lip care balm"],
+    ["body lotion", "lotion for body", "body milk"],
+    ["aftershave balm", "after shave lotion", "post-shave balm"],
+    ["liquid foundation", "fluid foundation", "foundation fluid"],
+    ["cream eyeshadow", "eyeshadow pot", "creme shadow for eyes"],
+    ["body mist", "scented mist", "fragrance mist"],
+    ["face primer", "makeup base", "priming base"],
+    ["shampoo", "hair wash", "hair cleanser"],
+]
+
+# fixed values: scents
+SCENTS = [
+    "almond", "amber", "apricot kernel", "bergamot", "black plum", "blood orange", "charcoal", "coconut", "cotton blossom", "cucumber",
+    "green mango", "juniper", "lemon balm", "lilac", "marshmallow root", "oat milk", "papaya", "pink pepper", "quince", "rain moss",
+    "red currant", "rice water", "rosewood", "sandalwood", "sea fennel", "tonka", "vanilla bean", "violet leaf", "white tea", "wild thyme",
+]
+
+# fixed values: scents of two parts, named in either order
+BLENDS = [["cedar", "fig"], ["ginger", "lime"], ["honey", "clove"], ["iris", "musk"], ["mint", "basil"]]
+
+# fixed values: wordings of no scent
+UNSCENTED = ["unscented", "fragrance-free", "no fragrance", "without perfume"]
+
+# fixed values: shades with their numbers
+SHADES = {
+    1: "porcelain", 2: "ivory", 3: "sand", 4: "honey", 5: "caramel", 6: "chestnut", 7: "espresso", 10: "coral", 11: "brick", 12: "berry",
+    13: "mauve", 14: "plum noir", 15: "nude rose", 16: "poppy", 20: "slate", 21: "copper", 22: "olive", 23: "moonstone",
+}
+
+# fixed values: phrases that praise and say nothing about the article
+PRAISE = [
+    "100% authentic", "24h comfort", "best seller", "cruelty-free", "dermatologist tested", "everyday essential", "fast dispatch", "for women & men",
+    "free shipping", "fresh stock", "great gift idea", "hot deal", "limited offer", "luxury", "money-back promise", "must have", "new",
+    "premium", "salon quality", "spring edition box", "top rated", "vegan friendly", "with natural extracts",
+]
+
+# fixed values: what makers add to their names
+MAKER_SUFFIXES = ["beauty co.", "beauty co", "cosmetics", "labs", "official", "gmbh", "ltd", "inc", "paris"]
+
+# fixed values: numbers in words
+NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "eight": 8, "ten": 10, "twelve": 12, "single": 1, "duo": 2, "twin pack": 2, "trio": 3}
+
+# fixed values: texts that stand for no value
+PLACEHOLDERS = ["", "n/a", "na", "none", "null", "nan", "unknown", "-", "--", "?", "tbd", "generic", "no brand", "unbranded", "other", "various"]
+
+# fixed values: usual net contents in millilitres or grams
+CONTENTS = [5, 10, 15, 20, 25, 30, 40, 50, 60, 75, 100, 125, 150, 200, 250, 300, 400, 500, 600, 750, 1000, 1500, 2000, 5000]
