@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm import LLM
 from vitrine.llm import same_product as sp
+from vitrine.llm import text_quality as tq
 from vitrine.sources.tables import table
 
 
@@ -19,3 +20,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Every listing with the group of listings that sell the same article."""
     return sp.group_listings(table(spark, folder, "products"))
+
+
+@LLM.query("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return tq.not_prose(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+@LLM.query("p10_stats")
+def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics and the verdict of every document."""
+    return tq.text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"))
