@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import LLM
+from vitrine.llm import packing
 from vitrine.llm import same_product as sp
 from vitrine.llm import text_quality as tq
+from vitrine.llm import tokens
 from vitrine.sources.tables import table
 
 
@@ -31,3 +33,27 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics and the verdict of every document."""
     return tq.text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+@LLM.query("p8_ids")
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(table(spark, folder, "documents"))
+
+
+@LLM.query("p8_roundtrip", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    return tokens.decode(tokens.encode(table(spark, folder, "documents")))
+
+
+@LLM.query("p9_containers")
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(tokens.token_counts(table(spark, folder, "documents")), table(spark, folder, "pack_sizes"))
+
+
+@LLM.query("p9_fill")
+def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens and used share of each capacity."""
+    used = p9_containers(spark, folder).groupBy("pack_name").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    sizes = table(spark, folder, "pack_sizes").select("pack_name", "capacity_tokens")
+    return used.join(F.broadcast(sizes), "pack_name").select("pack_name", "n_containers", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("used_share"))
