@@ -9,6 +9,7 @@ from vitrine.functions.times import utc_day
 from vitrine.llm import LLM, fusion_rank
 from vitrine.llm import packing
 from vitrine.llm import same_product as sp
+from vitrine.llm import similar_vectors as sv
 from vitrine.llm import text_quality as tq
 from vitrine.llm import together as tg
 from vitrine.llm import tokens
@@ -79,6 +80,19 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return d.select(F.col("item_a").alias("product_id_a"), F.col("item_b").alias("product_id_b"), "n_ab", "n_a", "n_b", F.round("ratio", 6).alias("ratio"))
 
 
+@LLM.query("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = sv.similar_pairs(table(spark, folder, "product_vectors"), "product_id", "embedding", 0.9)
+    return near.select(F.col("item_a").alias("product_id_a"), F.col("item_b").alias("product_id_b"))
+
+
+@LLM.query("p7_neighbours")
+def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar products of every product with a valid vector."""
+    d = sv.similar(table(spark, folder, "product_vectors"), "product_id", "embedding")
+    return d.select(F.col("item").alias("product_id"), F.col("other").alias("neighbour_id"), "cosine", "place")
+
+
 @LLM.query("p10_found")
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return tq.not_prose(table(spark, folder, "documents"), table(spark, folder, "common_words"))
