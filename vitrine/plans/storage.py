@@ -28,10 +28,15 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vitrine-{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    _written.append((spark, path))
+    forget_later(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Removes the path when the driver's Python ends."""
+    _written.append((spark, path))
+
+
 def _remove() -> None:
     for spark, path in _written:
         try:
