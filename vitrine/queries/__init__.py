@@ -10,6 +10,7 @@ CORE = Registry()
 def load() -> Registry:
     """Imports every query module once and returns the registry."""
     import vitrine.queries.ingest
-    import vitrine.queries.pipeline  # noqa: F401
+    import vitrine.queries.pipeline
+    import vitrine.queries.relational  # noqa: F401
 
     return CORE
