@@ -55,7 +55,7 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, query: str = "quer
             return pd.DataFrame({query: [], item: [], "score": [], "_x": []})
         x, y = np.stack(a["_v"].to_numpy()).astype(np.float64), np.stack(b["_v"].to_numpy()).astype(np.float64)
         ids, qs, ex = b[item].to_numpy(), a[query].to_numpy(), a["_x"].to_numpy()
-        out = []
+        which, where, score = [], [], []
         for lo in range(0, len(x), 512):
             s = x[lo : lo + 512] @ y.T
             keep = np.minimum(k + ex[lo : lo + 512], len(ids))
@@ -63,8 +63,11 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, query: str = "quer
                 m = int(keep[r])
                 least = np.partition(s[r], len(ids) - m)[len(ids) - m] if m < len(ids) else -np.inf
                 at = np.nonzero(s[r] >= least - 1e-9)[0]
-                out.append(pd.DataFrame({query: np.repeat(qs[lo + r : lo + r + 1], len(at)), item: ids[at], "score": s[r][at], "_x": ex[lo + r]}))
-        return pd.concat(out)
+                which.append(np.full(len(at), lo + r))
+                where.append(at)
+                score.append(s[r][at])
+        which = np.concatenate(which)
+        return pd.DataFrame({query: qs[which], item: ids[np.concatenate(where)], "score": np.concatenate(score), "_x": ex[which]})
 
     found = q.groupBy("_q", "_i").cogroup(i.groupBy("_q", "_i")).applyInPandas(multiply, schema)
     # rounded before ranking, so that sums in another order rank alike

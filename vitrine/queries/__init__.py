@@ -11,6 +11,7 @@ def load() -> Registry:
     """Imports every query module once and returns the registry."""
     import vitrine.queries.ingest
     import vitrine.queries.pipeline
+    import vitrine.queries.recommend
     import vitrine.queries.relational
     import vitrine.queries.search  # noqa: F401
 

@@ -113,10 +113,10 @@ def popularity_train_safe(spark, folder):
     return n.join(hidden, ["user_id", "product_id"], "left_anti").groupBy("product_id").agg(F.sum("n").alias("n"))
 
 
-def _rounds_sql(ku: int, ki: int, rounds: int) -> str:
-    steps = [f"c0 AS (SELECT user_id, product_id FROM pairs)"]  # noqa: F541
+def _rounds_sql(ku: int, ki: int, rounds: int, c: str = "c") -> str:
+    steps = [f"{c}0 AS (SELECT user_id, product_id FROM pairs)"]
     for i in range(rounds):
-        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT * FROM c{i} WHERE user_id IN (SELECT user_id FROM c{i} GROUP BY 1 HAVING count(*) >= {ku}) AND product_id IN (SELECT product_id FROM c{i} GROUP BY 1 HAVING count(*) >= {ki}))")
+        steps.append(f"{c}{i + 1} AS MATERIALIZED (SELECT * FROM {c}{i} WHERE user_id IN (SELECT user_id FROM {c}{i} GROUP BY 1 HAVING count(*) >= {ku}) AND product_id IN (SELECT product_id FROM {c}{i} GROUP BY 1 HAVING count(*) >= {ki}))")
     return ", ".join(steps)
 
 

@@ -226,10 +226,10 @@ def index_validate(spark, folder):
     return table(spark, folder, "product_vectors").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("product_id").alias("n_ids"), n(e.isNull()).alias("n_null"), n(F.size(e) != 64).alias("n_wrong_size"), n(bad).alias("n_not_finite"))
 
 
-@CORE.query("knn_exact", f"WITH {QUERY_SET}, {SEMANTIC} SELECT query_id, product_id, rank, round(score, 6) AS score FROM semr WHERE rank <= 10")
+@CORE.query("knn_exact", f"WITH {QUERY_SET}, {SEMANTIC} SELECT query_id, product_id, rank, score FROM semr WHERE rank <= 10")
 def knn_exact(spark, folder):
     d = semantic_ranked(spark, folder, 10)
-    return d.select("query_id", "product_id", "rank", F.round("score", 6).alias("score"))
+    return d.select("query_id", "product_id", "rank", "score")
 
 
 @CORE.query("similar_items", f"WITH {QUERY_SET}, {SEMANTIC}, o AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.product_id) AS r FROM sem s JOIN qset q USING (query_id) WHERE s.product_id <> q.source) SELECT query_id, o.product_id, p.title, r AS rank FROM o JOIN products p USING (product_id) WHERE r <= 10")
@@ -285,9 +285,9 @@ def encode_hash(spark, folder):
 # ---- fusion
 
 
-@CORE.query("fuse_rrf", f"WITH {RANKED}, f AS (SELECT request_id, product_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ranked WHERE channel IN ('content', 'cf') GROUP BY 1, 2) SELECT request_id, product_id, round(score, 6) AS score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, product_id) AS rank FROM f")
+@CORE.query("fuse_rrf", f"WITH {RANKED}, f AS (SELECT request_id, product_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ranked WHERE channel IN ('content', 'cf') GROUP BY 1, 2) SELECT request_id, product_id, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, product_id) AS rank FROM f")
 def fuse_rrf(spark, folder):
-    return fu.rrf(ranked_channels(spark, folder).where(F.col("channel").isin("content", "cf")), "request_id", "product_id").withColumn("score", F.round("score", 6))
+    return fu.rrf(ranked_channels(spark, folder).where(F.col("channel").isin("content", "cf")), "request_id", "product_id")
 
 
 def weighted_sql(weights: dict[str, float], source: str = "long", query: str = "request_id", renormalise: bool = True) -> str:
@@ -299,9 +299,9 @@ wf AS (SELECT l.{query}, l.product_id, round(sum((CASE WHEN hi = lo THEN 1.0 ELS
 wr AS (SELECT *, row_number() OVER (PARTITION BY {query} ORDER BY score DESC, product_id) AS rank FROM wf)"""
 
 
-@CORE.query("fuse_weighted", f"WITH {LONG}, {weighted_sql({'content': 0.5, 'cf': 0.5}, renormalise=False)} SELECT request_id, product_id, round(score, 6) AS score, rank FROM wr")
+@CORE.query("fuse_weighted", f"WITH {LONG}, {weighted_sql({'content': 0.5, 'cf': 0.5}, renormalise=False)} SELECT request_id, product_id, score, rank FROM wr")
 def fuse_weighted(spark, folder):
-    return fu.weighted(channels(spark, folder), "request_id", "product_id", {"content": 0.5, "cf": 0.5}, renormalise=False).withColumn("score", F.round("score", 6))
+    return fu.weighted(channels(spark, folder), "request_id", "product_id", {"content": 0.5, "cf": 0.5}, renormalise=False)
 
 
 @CORE.query("rec_fuse_rrf", f"WITH {RANKED}, f AS (SELECT request_id, product_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ranked GROUP BY 1, 2) SELECT request_id, product_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, product_id) AS rank FROM f")
@@ -312,9 +312,9 @@ def rec_fuse_rrf(spark, folder):
 REC_WEIGHTS = {"content": 0.6, "cf": 0.3, "popularity": 0.1}
 
 
-@CORE.query("rec_fuse_weighted", f"WITH {LONG}, {weighted_sql(REC_WEIGHTS)} SELECT request_id, product_id, round(score, 6) AS score, rank FROM wr")
+@CORE.query("rec_fuse_weighted", f"WITH {LONG}, {weighted_sql(REC_WEIGHTS)} SELECT request_id, product_id, score, rank FROM wr")
 def rec_fuse_weighted(spark, folder):
-    return fu.weighted(channels(spark, folder), "request_id", "product_id", fu.check_weights(REC_WEIGHTS)).withColumn("score", F.round("score", 6))
+    return fu.weighted(channels(spark, folder), "request_id", "product_id", fu.check_weights(REC_WEIGHTS))
 
 
 _REASONS = "CASE WHEN content AND cf THEN NULL WHEN content THEN 'cf_user_unavailable' WHEN cf THEN 'no_usable_content_history' WHEN popularity THEN 'popularity_only' ELSE 'no_channel' END"
@@ -335,10 +335,10 @@ def hybrid_search_rrf(spark, folder):
     return top.join(table(spark, folder, "products").select("product_id", "title"), "product_id").select("query_id", "rank", "product_id", "title")
 
 
-@CORE.query("hybrid_search_weighted", f"WITH {HYBRID}, {weighted_sql({'keyword': 0.5, 'semantic': 0.5}, 'ch', 'query_id', False)} SELECT query_id, rank, product_id, round(score, 6) AS score FROM wr WHERE rank <= 10")
+@CORE.query("hybrid_search_weighted", f"WITH {HYBRID}, {weighted_sql({'keyword': 0.5, 'semantic': 0.5}, 'ch', 'query_id', False)} SELECT query_id, rank, product_id, score FROM wr WHERE rank <= 10")
 def hybrid_search_weighted(spark, folder):
     d = fu.weighted(search_channels(spark, folder), "query_id", "product_id", {"keyword": 0.5, "semantic": 0.5}, renormalise=False).where("rank <= 10")
-    return d.select("query_id", "rank", "product_id", F.round("score", 6).alias("score"))
+    return d.select("query_id", "rank", "product_id", "score")
 
 
 @CORE.query("self_retrieval", f"WITH {QUERY_SET}, {POST}, {WEIGHT}, {KEYWORD} SELECT count(*) AS n_queries, count(*) FILTER (WHERE rank <= 10) AS hits FROM qset q LEFT JOIN kwr k ON k.query_id = q.query_id AND k.product_id = q.source")
