@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from vitrine.functions import text as tx
@@ -177,7 +178,7 @@ def score_with(df: DataFrame, names: list[str], model: Mlp) -> DataFrame:
         for b in batches:
             yield b.assign(score=held.value.score(b[names].to_numpy(np.float64)))
 
-    return df.mapInPandas(run, df.schema.add("score", "double"))
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def negatives(positives: DataFrame, n_items: DataFrame, user: str, item: str, epoch: int, tries: int = 8) -> DataFrame:

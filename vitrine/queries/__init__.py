@@ -10,9 +10,12 @@ CORE = Registry()
 def load() -> Registry:
     """Imports every query module once and returns the registry."""
     import vitrine.queries.ingest
+    import vitrine.queries.learning
+    import vitrine.queries.personal
     import vitrine.queries.pipeline
     import vitrine.queries.recommend
     import vitrine.queries.relational
-    import vitrine.queries.search  # noqa: F401
+    import vitrine.queries.search
+    import vitrine.queries.stream  # noqa: F401
 
     return CORE

@@ -1 +1 @@
-
+"""Event ingest as Structured Streaming."""
