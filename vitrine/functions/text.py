@@ -12,6 +12,11 @@ from vitrine.functions.clean import collapse
 # fixed values: English words that carry no search meaning
 STOP_WORDS = sorted("a an and are as at be by for from has he in is it its of on or that the this to was were will with".split())
 
+# fixed values: title tokens that make no query: units, packaging and function words
+QUIET_WORDS = (
+    "a an and by ct count fl for from in inch inches jar jars kit lb lbs ml new of on or ounce ounces oz pack pc pcs piece pieces set size sizes the to unit units with"
+).split()
+
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of ASCII letters and digits; null gives the empty array."""
@@ -47,8 +52,8 @@ def overlap_ratio(query: Column, other: Column) -> Column:
 
 
 def informative(title: Column) -> Column:
-    """Distinct title tokens of two letters and more without digits and stop words."""
-    return F.array_distinct(F.filter(tokens(title), lambda t: (F.length(t) >= 2) & ~t.rlike("[0-9]") & ~t.isin(STOP_WORDS)))
+    """Distinct title tokens of two letters and more without digits and quiet words."""
+    return F.array_distinct(F.filter(tokens(title), lambda t: (F.length(t) >= 2) & ~t.rlike("[0-9]") & ~t.isin(QUIET_WORDS)))
 
 
 def title_query(title: Column) -> Column:

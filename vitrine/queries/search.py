@@ -18,6 +18,7 @@ from vitrine.queries.ingest import collapse_sql, strip_sql  # noqa: F401
 from vitrine.queries.relational import CHANNELS, LONG, RANKED, channels, ranked_channels
 from vitrine.sources.tables import table
 
+_QUIET = "(" + ", ".join(f"'{w}'" for w in tx.QUIET_WORDS) + ")"
 _STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
 
 
@@ -37,7 +38,7 @@ def terms_sql(c: str) -> str:
 
 def informative_sql(c: str) -> str:
     """Distinct tokens in the order of their first occurrence."""
-    f = f"list_filter({tokens_sql(c)}, lambda t: length(t) >= 2 AND NOT regexp_matches(t, '[0-9]') AND t NOT IN {_STOP})"
+    f = f"list_filter({tokens_sql(c)}, lambda t: length(t) >= 2 AND NOT regexp_matches(t, '[0-9]') AND t NOT IN {_QUIET})"
     return f"(SELECT coalesce(list(w ORDER BY p), []) FROM (SELECT w, min(p) AS p FROM (SELECT unnest({f}) AS w, unnest(range(len({f}))) AS p) GROUP BY w))"
 
 
