@@ -237,7 +237,7 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def similar(vectors: DataFrame, item: str, embedding: str, k: int = 10, probe_share: float = 0.25, least_probes: int = 8, rerank: int = 320) -> DataFrame:
+def similar(vectors: DataFrame, item: str, embedding: str, k: int = 10, probe_share: float = 0.25, least_probes: int = 64, rerank: int = 320) -> DataFrame:
     """item, other, cosine, place (1 to k): the k most similar other items of each item with a valid vector (equal cosines: smaller item
     first). Items with invalid vectors take no part; with fewer than k others all come out."""
     members, entries = directions(vectors, item, embedding, k)

@@ -33,6 +33,7 @@ TERMINAL = frozenset(".!?…。！？:;\"'»”)")
 #: A cut word is kept to this length: longer than any common word, so a longer one can be none.
 EDGE = 40
 
+_RUN = re.compile(r"(?:[^\W\d_]|['’])+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _BREAK = re.compile(r"\r\n|[\n\r  \u0085]|<br\s*/?>|</?(?:tr|p|li|div|ul|ol|table)(?:\s[^<>]{0,200})?>", re.I)
 _CELL = re.compile(r"</?t[dh](?:\s[^<>]{0,200})?>", re.I)
@@ -51,8 +52,16 @@ def sentence_words(common: frozenset[str]) -> frozenset[str]:
     return frozenset(w for w in common - NOUN_PHRASE_WORDS if len(w) > 1)
 
 
-def _edge(word: str) -> str:
-    return word[:EDGE] if len(word) <= EDGE else word[:EDGE] + "\u0000"
+def _edge(run: str) -> str:
+    """A run cut to EDGE characters and marked as longer; whether it holds a letter stays visible."""
+    if len(run) <= EDGE:
+        return run
+    return ("" if run[:EDGE].strip("'’") or not run.strip("'’") else "x") + run[:EDGE] + "\u0000"
+
+
+def _plain(run: str) -> str:
+    """The word in a run of letters and apostrophes, as common words are written; empty if it has no letter."""
+    return run.strip("'’").lower().replace("’", "'")
 
 
 def segments(text: str) -> list[str]:
@@ -108,19 +117,13 @@ def _few_vowels(s: str, letters: int) -> bool:
 
 def state_of(text: str, common: frozenset[str], strong: frozenset[str]) -> tuple:
     """The mergeable state of one window, in the order of STATE."""
-    matches = _WORD.findall(text)
-    n = len(matches)
-    lowered = [w.lower().replace("’", "'") for w in matches]
-    symbols = sum(1 for c in text if not (c.isalnum() or c.isspace()))
-    head = tail = ""
-    whole = False
-    inner = lowered
-    if n and _joins(text[0]):
-        head = _edge(lowered[0])
-    if n and _joins(text[-1]):
-        tail = _edge(lowered[-1])
-    whole = bool(n == 1 and head and tail and len(matches[0]) == len(text))
-    common_hits = sum(map(common.__contains__, inner))
+    runs = _RUN.findall(text)
+    words = [w for w in map(_plain, runs) if w]
+    symbols = len(text) - sum(1 for c in text if c.isalnum() or c.isspace())
+    head = _edge(runs[0]) if runs and _joins(text[0]) else ""
+    tail = _edge(runs[-1]) if runs and _joins(text[-1]) else ""
+    whole = len(runs) == 1 and len(runs[0]) == len(text)
+    common_hits = sum(map(common.__contains__, words))
     lines = text.replace("\r\n", "\n").split("\n")
     ends = [line.rstrip()[-1:] for line in lines]
     closed = ends[1:-1]
@@ -136,14 +139,14 @@ def state_of(text: str, common: frozenset[str], strong: frozenset[str]) -> tuple
             repeat += size
         before = key
     return (
-        len(text), n, sum(map(len, matches)), symbols, sum(1 for e in closed if e), sum(1 for e in closed if e in TERMINAL and e), common_hits,
+        len(text), len(words), sum(map(str.isalpha, text)), symbols, sum(1 for e in closed if e), sum(1 for e in closed if e in TERMINAL and e), common_hits,
         weight["prose"], weight["list"], weight["table"], weight["junk"], repeat, weight[""], short,
         head, tail, whole, ends[0], ends[-1], len(lines) > 1,
     )
 
 
 def _joins(c: str) -> bool:
-    return c.isalpha() or c in "'’"
+    return _RUN.match(c) is not None
 
 
 def merge(a: tuple, b: tuple, common: frozenset[str]) -> tuple:
@@ -154,9 +157,11 @@ def merge(a: tuple, b: tuple, common: frozenset[str]) -> tuple:
     b_head, b_tail, b_one, b_first, b_last, b_break = b[k:]
     head, tail, one = a_head, b_tail, False
     if a_tail and b_head:
-        joined = _edge(a_tail + b_head) if "\u0000" not in a_tail else a_tail
-        counts[1] -= 1
-        counts[6] += (joined in common) - (a_tail in common) - (b_head in common)
+        joined = a_tail if a_tail.endswith("\u0000") else _edge(a_tail + b_head)
+        both = [_plain(a_tail), _plain(b_head)]
+        word = _plain(joined) or both[1]
+        counts[1] += bool(word) - bool(both[0]) - bool(both[1])
+        counts[6] += (word in common) - (both[0] in common) - (both[1] in common)
         head, tail, one = (joined if a_one else a_head), (joined if b_one else b_tail), a_one and b_one
     middle = b_first or a_last
     if a_break and b_break:
