@@ -29,6 +29,15 @@ SHARD = 32_768
 BLOCK = 8_192
 AT_ONCE = 256
 SEED = 7
+SALTS = 16
+#: Digits to which cosines count as equal: copies of another length are copies.
+DIGITS = 7
+
+
+def _spread(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """An inner join on a key that may be most of the rows: facts, few per key, are repeated for each salt."""
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
+    return salted.join(facts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_s"]).drop("_s")
 
 
 def is_valid(e: Column, dim: int = DIM) -> Column:
@@ -43,13 +52,15 @@ def directions(vectors: DataFrame, item: str, embedding: str, k: int, dim: int =
     e = F.col(embedding).cast("array<float>")
     rows = vectors.select(F.col(item).cast("string").alias("item"), e.alias("e")).where(F.col("item").isNotNull() & is_valid(F.col("e"), dim))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = rows.withColumn("norm", norm).select("item", F.transform("e", lambda x: (x.cast("double") / F.col("norm")).cast("float") + F.lit(0.0).cast("float")).alias("u"))
+    # the one-element array binds the norm once for all elements
+    scaled = F.transform(F.array(F.struct(F.col("e"), norm.alias("n"))), lambda p: F.transform(p["e"], lambda x: (x.cast("double") / p["n"]).cast("float") + F.lit(0.0).cast("float")))
+    unit = rows.select("item", F.get(scaled, F.lit(0)).alias("u"))
     once = materialize(unit.groupBy("item").agg(F.min("u").alias("u")), "unit")
     groups = once.groupBy("u").agg(F.min("item").alias("cid"), F.count(F.lit(1)).alias("n"))
     lone = groups.where("n = 1").select("cid", "u", "n", F.array("cid").alias("first"))
     # only copies are ranked; row_number with a limit keeps k + 1 per task before it shuffles
     shared = groups.where("n > 1").select("u", "cid", "n")
-    copies = once.join(shared, "u")
+    copies = _spread(once, shared, "u")
     top = copies.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy("item"))).where(F.col("r") <= k + 1)
     many = top.groupBy("cid", "u", "n").agg(F.array_sort(F.collect_list("item")).alias("first"))
     members = copies.select("item", "cid").unionByName(groups.where("n = 1").select(F.col("cid").alias("item"), "cid"))
@@ -233,7 +244,7 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
         return found[found.cid != found.other]
 
     found = placed.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(look, schema)
-    best = W.partitionBy("cid").orderBy(F.col("cosine").desc(), "other")
+    best = W.partitionBy("cid").orderBy(F.round("cosine", DIGITS).desc(), "other")
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
@@ -245,10 +256,12 @@ def similar(vectors: DataFrame, item: str, embedding: str, k: int = 10, probe_sh
     found = class_neighbours(entries, k, probe_share, least_probes, rerank)
     first = entries.select("cid", "n", "first")
     # an entry with k + 1 members fills its members' places by itself
-    own = members.join(first.where("n > 1"), "cid").select("item", F.explode("first").alias("other"), F.lit(1.0).alias("cosine")).where(F.col("item") != F.col("other"))
-    others = found.join(first.select(F.col("cid").alias("other"), "first"), "other").select("cid", F.explode("first").alias("other"), "cosine")
-    far = members.join(first.where(F.col("n") <= k).select("cid"), "cid").join(others, "cid").select("item", "other", "cosine")
-    best = W.partitionBy("item").orderBy(F.col("cosine").desc(), "other")
+    own = _spread(members, first.where("n > 1").select("cid", "first"), "cid").select("item", F.explode("first").alias("other"), F.lit(1.0).alias("cosine")).where(F.col("item") != F.col("other"))
+    others = found.join(first.select(F.col("cid").alias("other"), F.col("first").alias("theirs")), "other").select("cid", "theirs", "cosine")
+    # to an entry with more than k members only copies of another length matter besides
+    wanted = others.join(first.select("cid", "n"), "cid").where((F.col("n") <= k) | (F.round("cosine", DIGITS) >= 1)).select("cid", F.explode("theirs").alias("other"), "cosine")
+    far = _spread(members, wanted, "cid").select("item", "other", "cosine")
+    best = W.partitionBy("item").orderBy(F.round("cosine", DIGITS).desc(), "other")
     ranked = own.unionByName(far).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     return ranked.select("item", "other", "cosine", F.col("place").cast("bigint").alias("place"))
 
