@@ -7,15 +7,21 @@ mergeable (``merge_states``), so days or sources can be kept apart and added up;
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Event types are column names in the end, so their number is bounded by what a row can hold.
 MAX_TYPES = 5_000
 #: A value beyond this is a recording error and not added up.
 MAX_VALUE = 1e6
 UNLISTED = "unlisted"
+#: Entities that are expanded at a time.
+ROWS_AT_ONCE = 1_024
 
 
 def distinct_events(df: DataFrame, entity: str, item: str, kind: str, occurred: str, value: str) -> DataFrame:
@@ -62,17 +68,31 @@ def column_names(types: list[str]) -> list[str]:
 def expand(states: DataFrame, types: list[str], entity: str) -> DataFrame:
     """entity plus <type>_n (0 if none), <type>_total (0.0 if none) and <type>_latest_us (microseconds, null if none) for each type and
     for ``unlisted``, the kinds outside the list."""
-    cells = F.map_from_entries(F.transform("state", lambda c: F.struct(c["idx"], c)))
-    dense = states.select("entity", cells.alias("m")).select("entity", F.transform(F.sequence(F.lit(0), F.lit(len(types))), lambda i: F.try_element_at(F.col("m"), i)).alias("d"))
-    out = [F.col("entity").alias(entity)]
-    for i, stem in enumerate([*column_names(types), UNLISTED]):
-        c = F.get("d", F.lit(i))
-        out += [
-            F.coalesce(c["n"], F.lit(0)).cast("bigint").alias(f"{stem}_n"),
-            F.coalesce(F.round(c["total"], 4), F.lit(0.0)).alias(f"{stem}_total"),
-            F.unix_micros(c["latest"]).alias(f"{stem}_latest_us"),
-        ]
-    return dense.select(*out)
+    n_types = len(types) + 1
+    stems = [*column_names(types), UNLISTED]
+    fields = [T.StructField(entity, states.schema["entity"].dataType)]
+    for stem in stems:
+        fields += [T.StructField(f"{stem}_n", T.LongType()), T.StructField(f"{stem}_total", T.DoubleType()), T.StructField(f"{stem}_latest_us", T.LongType())]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                row = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy())
+                idx, n, total, latest = part.column(1).flatten().flatten()
+                at = (idx.to_numpy(), row)
+                counts, sums, last = (np.zeros((n_types, part.num_rows), t) for t in (np.int64, np.float64, np.int64))
+                never = np.ones((n_types, part.num_rows), bool)
+                counts[at] = n.to_numpy()
+                sums[at] = np.round(total.to_numpy(), 4)
+                last[at] = latest.fill_null(0).to_numpy()
+                never[at] = latest.is_null().to_numpy(zero_copy_only=False)
+                columns = [a for i in range(n_types) for a in (pa.array(counts[i]), pa.array(sums[i]), pa.array(last[i], mask=never[i]))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
+
+    cells = F.transform("state", lambda c: F.struct(c["idx"].alias("idx"), c["n"].cast("bigint").alias("n"), c["total"].alias("total"), F.unix_micros(c["latest"]).alias("us")))
+    return states.select("entity", cells.alias("c")).mapInArrow(run, T.StructType(fields))
 
 
 def known_types(event_types: DataFrame, column: str = "event_type") -> list[str]:
