@@ -203,47 +203,47 @@ def verdict(s: tuple) -> str | None:
 
 
 def text_statistics(documents: DataFrame, common_words: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_chars, n_words, mean_word_length, symbol_ratio, punct_line_share, common_share, verdict: one row per row of documents with
-    a doc_id. Ratios are null where nothing is counted; null, empty and blank texts have counts 0 and no verdict. Rows that repeat a doc_id
-    must repeat its text too; they give one row."""
+    """doc_id, n_chars, n_words, mean_word_length, symbol_ratio, punct_line_share, common_share, verdict: one row per row of documents,
+    repeated and null doc_ids included. Ratios are null where nothing is counted; null, empty and blank texts have counts 0 and no verdict.
+    No text is shuffled but the windows of huge ones."""
     rows = common_words.select(F.lower("word")).where(F.col("word").isNotNull()).distinct().limit(MAX_COMMON + 1).collect()
     if len(rows) > MAX_COMMON:
         raise ValueError(f"more than {MAX_COMMON} common words")
     common = frozenset(r[0] for r in rows)
     strong = sentence_words(common)
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
     # one pass over the characters; a text of one window is not copied
     cut = F.when(F.length("text") <= window, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{window}}}"), F.lit(0)))
-    windows = docs.select("doc_id", F.posexplode(cut).alias("no", "part"), (F.length("text") <= window).alias("single"))
+    windows = docs.select("rid", "doc_id", F.posexplode(cut).alias("no", "part"), (F.length("text") <= window).alias("single"))
 
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "no", "single", *[c.split()[0] for c in STATE.split(", ")]]
+        names = ["rid", "doc_id", "no", "single", *[c.split()[0] for c in STATE.split(", ")]]
         for b in batches:
-            yield pd.DataFrame([(d, n, s, *state_of(t, common, strong)) for d, n, s, t in zip(b.doc_id, b.no, b.single, b.part)], columns=names)
+            yield pd.DataFrame([(r, *state_of(t, common, strong)) for r, t in zip(b.rid, b.part)], columns=["rid", *names[4:]]).assign(doc_id=b.doc_id, no=b.no, single=b.single)[names]
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no", kind="stable")
-        state, cols = None, list(pdf.columns[3:])
+        state, cols = None, list(pdf.columns[4:])
         for row in pdf[cols].itertuples(index=False, name=None):
             state = row if state is None else merge(state, row, common)
-        return pd.DataFrame([(pdf.doc_id.iloc[0], int(pdf.no.iloc[0]) // FAN, False, *state)], columns=list(pdf.columns))
+        return pd.DataFrame([(pdf.rid.iloc[0], pdf.doc_id.iloc[0], int(pdf.no.iloc[0]) // FAN, False, *state)], columns=list(pdf.columns))
 
-    schema = f"doc_id bigint, no int, single boolean, {STATE}"
+    schema = f"rid bigint, doc_id bigint, no int, single boolean, {STATE}"
     # huge texts are few but heavy: their windows are spread before Python sees them
     first = windows.where("single").mapInPandas(states, schema)
-    huge = windows.where("NOT single").repartition("doc_id", "no").mapInPandas(states, schema)
-    level = huge.groupBy("doc_id", F.floor(F.col("no") / FAN)).applyInPandas(joined, schema)
-    top = level.groupBy("doc_id").applyInPandas(joined, schema)
+    huge = windows.where("NOT single").repartition("rid", "no").mapInPandas(states, schema)
+    level = huge.groupBy("rid", F.floor(F.col("no") / FAN)).applyInPandas(joined, schema)
+    top = level.groupBy("rid").applyInPandas(joined, schema)
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for row in b.itertuples(index=False, name=None):
-                doc, s = row[0], row[3:]
+                doc, s = (None if row[1] != row[1] else row[1]), row[4:]
                 lines, punct = finish(s)
                 ratio = lambda x, y: x / y if y else None
                 out.append((doc, s[0], s[1], ratio(s[2], s[1]), ratio(s[3], s[0]), ratio(punct, lines), ratio(s[6], s[1]), verdict(s)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_share", "verdict"])
+            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_share", "verdict"]).astype({"doc_id": "Int64"})
 
     return first.unionByName(top).mapInPandas(last, "doc_id bigint, n_chars bigint, n_words bigint, mean_word_length double, symbol_ratio double, punct_line_share double, common_share double, verdict string")
 
