@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.operators.ranking import ranked
+from vitrine.plans.storage import materialize
 
 #: Rows of a block of queries or items that one task multiplies.
 BLOCK = 16_384
@@ -42,6 +43,9 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, query: str = "quer
     in its column ``extra``, for rows that the caller excludes afterwards). Nothing is broadcast, and the result does not depend on the
     number of blocks. The identifier's ties are resolved exactly, because a block keeps all items that tie with its last one.
     """
+    # written once: they are counted and then read by every block
+    queries = materialize(queries.select(query, vector, *([extra] if extra else [])), "queries")
+    items = materialize(items.select(item, vector), "items")
     n_q, n_i = (max(1, -(-df.count() // BLOCK)) for df in (queries, items))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     q = queries.select(F.col(query), F.col(vector).alias("_v"), (F.col(extra) if extra else F.lit(0)).cast("int").alias("_x"), block(query, n_q).alias("_q"))

@@ -53,7 +53,7 @@ feat AS (SELECT query_id, product_id, (product_id = source)::INT AS relevance, r
 
 def dataset(spark, folder) -> DataFrame:
     """query_id, product_id, relevance, place and the 25 features of every candidate of both channels."""
-    ch = materialize(search_channels(spark, folder, DEPTH), "channels")
+    ch = search_channels(spark, folder, DEPTH)
     cols = [a for c in ("keyword", "semantic") for a in (F.max(F.when(F.col("channel") == c, F.col("rank"))).alias(f"{c}_rank"), F.max(F.when(F.col("channel") == c, F.col("score"))).alias(f"{c}_score"))]
     union = ch.groupBy("query_id", "product_id").agg(*cols)
     rrf = fu.rrf(ch, "query_id", "product_id").select("query_id", "product_id", F.col("score").alias("rrf_score"))
@@ -179,7 +179,7 @@ SELECT system, count(*) AS n, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0::DOU
 )
 def eval_search(spark, folder):
     """Five systems over one query set, in one long table."""
-    ch = materialize(search_channels(spark, folder, DEPTH), "channels")
+    ch = search_channels(spark, folder, DEPTH)
     rel = query_set(spark, folder).select("query_id", F.col("source").alias("product_id"))
     cols = ["query_id", "product_id", "rank"]
     systems = {

@@ -113,7 +113,7 @@ ch AS (SELECT user_id, product_id, 'content' AS channel, score FROM c UNION ALL
 def hybrid_recs(spark, folder):
     """Three channels to depth 100, fused with weights renormalised over what a user has."""
     parts = [content_list(spark, folder, 100).withColumn("channel", F.lit("content")), cf_list(spark, folder, 100).withColumn("channel", F.lit("cf")), popular_list(spark, folder, 100).select("user_id", "product_id", F.col("n").cast("double").alias("score"), "rank").withColumn("channel", F.lit("popularity"))]
-    ch = reduce(DataFrame.unionByName, parts)
+    ch = materialize(reduce(DataFrame.unionByName, parts), "lists")  # fusion reads it for bounds and again for scores
     return fu.weighted(ch, "user_id", "product_id", REC_WEIGHTS).where("rank <= 10").select("user_id", "product_id", "rank", "score")
 
 
@@ -198,9 +198,9 @@ def eval_split(spark, folder):
     return hist.leave_last(last).select("user_id", "product_id", "split")
 
 
-@CORE.query("split_checksum", f"WITH {SPLIT}, g AS (SELECT user_id, sha256(string_agg(user_id || chr(9) || product_id || chr(9) || split || chr(10), '' ORDER BY product_id)) AS h FROM split GROUP BY 1), b AS (SELECT substr(sha256(user_id), 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM g GROUP BY 1) SELECT sum(n)::BIGINT AS n_users, sha256(string_agg(h, '' ORDER BY h)) AS checksum FROM b")
+@CORE.query("split_checksum", f"WITH {SPLIT}, g AS (SELECT user_id, sha256(string_agg(user_id || chr(9) || product_id || chr(9) || split || chr(10), '' ORDER BY product_id)) AS h FROM split WHERE product_id IS NOT NULL GROUP BY 1), b AS (SELECT substr(sha256(user_id), 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM g GROUP BY 1) SELECT sum(n)::BIGINT AS n_users, sha256(string_agg(h, '' ORDER BY h)) AS checksum FROM b")
 def split_checksum(spark, folder):
-    s = hist.leave_last(events(spark, folder))
+    s = hist.leave_last(events(spark, folder)).where("product_id IS NOT NULL")
     line = F.concat_ws("\t", "user_id", "product_id", F.concat("split", F.lit("\n")))
     digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
     g = s.groupBy("user_id").agg(digest(line).alias("h"))
@@ -383,7 +383,7 @@ def three_lists(spark, folder, train, hidden) -> DataFrame:
 
 
 _THREE = f"{top_sql('c', DOT, 'profile', 'train', 100)}, {top_sql('f2', CF_DOT, 'profile', 'train', 100)}, {_SAFE}, {_POPFOUND}, ch AS (SELECT user_id, product_id, 'content' AS channel, score, rank FROM c UNION ALL SELECT user_id, product_id, 'cf', score, rank FROM f2 UNION ALL SELECT user_id, product_id, 'popularity', n::DOUBLE, rank FROM popr)"
-_eval("eval_hybrid", f"{_THREE}, {weighted_sql(REC_WEIGHTS, 'ch', 'user_id')}, found AS (SELECT * FROM wr)", lambda s, d, t, h: fu.weighted(three_lists(s, d, t, h), "user_id", "product_id", REC_WEIGHTS))
+_eval("eval_hybrid", f"{_THREE}, {weighted_sql(REC_WEIGHTS, 'ch', 'user_id')}, found AS (SELECT * FROM wr)", lambda s, d, t, h: fu.weighted(materialize(three_lists(s, d, t, h), "lists"), "user_id", "product_id", REC_WEIGHTS))
 
 
 @CORE.query(

@@ -5,6 +5,8 @@ The stated query set of the searches: every vector whose row_no is divisible by
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from vitrine.operators import fusion as fu
 from vitrine.operators import keyword as kw
 from vitrine.operators import ranking as rk
 from vitrine.operators import vectors as ve
+from vitrine.plans.storage import materialize
 from vitrine.queries import CORE
 from vitrine.queries.ingest import collapse_sql, strip_sql  # noqa: F401
 from vitrine.queries.relational import CHANNELS, LONG, RANKED, channels, ranked_channels
@@ -148,9 +151,9 @@ def semantic_ranked(spark, folder, k: int = 100) -> DataFrame:
 
 
 def search_channels(spark, folder, depth: int = 100) -> DataFrame:
-    """query_id, product_id, channel, score, rank of keyword and semantic retrieval to the given depth."""
+    """query_id, product_id, channel, score, rank of keyword and semantic retrieval to the given depth, written once for its readers."""
     k = keyword_ranked(spark, folder).where(F.col("rank") <= depth).withColumn("channel", F.lit("keyword"))
-    return k.unionByName(semantic_ranked(spark, folder, depth).withColumn("channel", F.lit("semantic")))
+    return materialize(k.unionByName(semantic_ranked(spark, folder, depth).withColumn("channel", F.lit("semantic"))), "channels")
 
 
 @CORE.query("fts_postings", f"WITH {POST} SELECT term, product_id, class, count(*) AS tf FROM post GROUP BY ALL")
@@ -357,11 +360,7 @@ def _alpha_sql(a: float) -> str:
 @CORE.query("alpha_sweep", f"WITH {HYBRID} " + " UNION ALL ".join(_alpha_sql(a) for a in (0.25, 0.5, 0.75)))
 def alpha_sweep(spark, folder):
     """Title self-retrieval for three weights of the keyword channel, over one candidate set."""
-    from functools import reduce
-
-    from vitrine.plans.storage import materialize
-
-    ch = materialize(search_channels(spark, folder), "channels")
+    ch = search_channels(spark, folder)
     q = query_set(spark, folder).select("query_id", F.col("source").alias("product_id"))
     one = lambda a: q.join(fu.weighted(ch, "query_id", "product_id", {"keyword": a, "semantic": 1 - a}, renormalise=False), ["query_id", "product_id"], "left").agg(F.count(F.lit(1)).alias("n_queries"), F.count(F.when(F.col("rank") <= 10, 1)).alias("hits")).select(F.lit(a).alias("alpha"), "n_queries", "hits")
     return reduce(DataFrame.unionByName, [one(a) for a in (0.25, 0.5, 0.75)])
