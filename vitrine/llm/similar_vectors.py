@@ -26,7 +26,7 @@ SAMPLE = 50_000
 LISTS = 4_096
 PARTS, CODES = 16, 256
 SHARD = 32_768
-BLOCK = 8_192
+BLOCK = 32_768
 AT_ONCE = 256
 SEED = 7
 SALTS = 16
@@ -129,32 +129,41 @@ def search(q: np.ndarray, probes: list[np.ndarray], vec: np.ndarray, lists: np.n
     best, score = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf)
     rerank = max(k, min(rerank, len(order)))
     exact = vec.astype(np.float64)
+    # queries of one list come together, so that few lists are touched at a time
+    by_centroid = np.argsort(nearest(q, book.centroids), kind="stable")
     for lo in range(0, len(q), AT_ONCE):
-        x = q[lo : lo + AT_ONCE]
-        table = np.einsum("qpd,pcd->qpc", x.reshape(len(x), parts, d), book.codes, optimize=True).reshape(len(x), parts * n_codes)
-        coarse = x @ book.centroids[present].T
+        which = by_centroid[lo : lo + AT_ONCE]
+        x = q[which]
         by_list: dict[int, list[int]] = {}
-        for i, p in enumerate(probes[lo : lo + AT_ONCE]):
-            for l in p:  # noqa: E741
+        for i, at in enumerate(which):
+            for l in probes[at]:  # noqa: E741
                 by_list.setdefault(slot.get(int(l), -1), []).append(i)
         by_list.pop(-1, None)
-        seen = np.full((len(x), len(order)), -np.inf, np.float32)
-        for s, rows in by_list.items():
-            r = np.asarray(rows)
-            cols = slice(start[s], stop[s])
+        if not by_list:
+            continue
+        used = sorted(by_list)
+        here = np.concatenate([np.arange(start[s], stop[s]) for s in used])
+        left = np.concatenate([[0], np.cumsum([stop[s] - start[s] for s in used])])
+        table = np.einsum("qpd,pcd->qpc", x.reshape(len(x), parts, d), book.codes, optimize=True).reshape(len(x), parts * n_codes)
+        coarse = x @ book.centroids[present[used]].T
+        seen = np.full((len(x), len(here)), -np.inf, np.float32)
+        for c, s in enumerate(used):
+            r = np.asarray(by_list[s])
+            f = flat[start[s] : stop[s]]
             t = table[r]
-            total = t[:, flat[cols, 0]]
+            total = t[:, f[:, 0]]
             for j in range(1, parts):
-                total += t[:, flat[cols, j]]
-            seen[r, cols] = total + coarse[r, s][:, None]
-        top = np.argpartition(-seen, min(rerank, seen.shape[1]) - 1, axis=1)[:, :rerank] if seen.shape[1] > rerank else np.tile(np.arange(seen.shape[1]), (len(x), 1))
-        pos = order[top]
+                total += t[:, f[:, j]]
+            seen[r, left[c] : left[c + 1]] = total + coarse[r, c][:, None]
+        top = np.argpartition(-seen, rerank - 1, axis=1)[:, :rerank] if seen.shape[1] > rerank else np.tile(np.arange(seen.shape[1]), (len(x), 1))
+        pos = order[here[top]]
         cos = np.einsum("qd,qrd->qr", x.astype(np.float64), exact[pos])
         cos[~np.isfinite(np.take_along_axis(seen, top, 1))] = -np.inf
         m = min(k, cos.shape[1])
         rank = np.argsort(-cos, axis=1, kind="stable")[:, :m]
-        score[lo : lo + AT_ONCE, :m] = np.take_along_axis(cos, rank, 1)
-        best[lo : lo + AT_ONCE, :m] = np.where(np.isfinite(score[lo : lo + AT_ONCE, :m]), np.take_along_axis(pos, rank, 1), -1)
+        found = np.take_along_axis(cos, rank, 1)
+        score[which, :m] = found
+        best[which, :m] = np.where(np.isfinite(found), np.take_along_axis(pos, rank, 1), -1)
     return best, score
 
 
@@ -248,7 +257,7 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def similar(vectors: DataFrame, item: str, embedding: str, k: int = 10, probe_share: float = 0.25, least_probes: int = 64, rerank: int = 320) -> DataFrame:
+def similar(vectors: DataFrame, item: str, embedding: str, k: int = 10, probe_share: float = 0.12, least_probes: int = 64, rerank: int = 200) -> DataFrame:
     """item, other, cosine, place (1 to k): the k most similar other items of each item with a valid vector (equal cosines: smaller item
     first). Items with invalid vectors take no part; with fewer than k others all come out."""
     members, entries = directions(vectors, item, embedding, k)
