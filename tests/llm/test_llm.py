@@ -207,6 +207,26 @@ def test_similar_vectors_against_brute_force(spark):
     assert len(want & found) >= 0.99 * len(want) and len(found - want) <= 0.01 * len(want)
 
 
+def test_near_copies_of_a_third_are_found(spark):
+    """A third of the vectors are near copies (cosine about 0.97) that k-means spreads over many lists and whose codes say little."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 64))
+    x[:1000] = x[0] / np.linalg.norm(x[0]) + 0.022 * rng.standard_normal((1000, 64))
+    df = spark.createDataFrame([(f"v{i:04}", v.tolist()) for i, v in enumerate(x.astype(np.float32))], "product_id string, embedding array<float>")
+    m = x.astype(np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    cos = np.round(m @ m.T, 7)
+    np.fill_diagonal(cos, -9)
+    order = np.argsort(-cos, axis=1, kind="stable")[:, :10]
+    want = {tuple(sorted((f"v{i:04}", f"v{j:04}"))) for i in range(len(x)) for j in order[i] if cos[i, j] >= 0.9}
+    found = set(map(tuple, sv.similar_pairs(df, "product_id", "embedding", 0.9).collect()))
+    assert len(want) > 5000 and len(want & found) >= 0.999 * len(want) and len(found - want) <= 0.001 * len(want)
+    near = {}
+    for r in sv.similar(df, "product_id", "embedding").where("item < 'v1000'").collect():
+        near.setdefault(r.item, set()).add(r.other)
+    assert np.mean([len({f"v{j:04}" for j in order[i]} & near[f"v{i:04}"]) / 10 for i in range(1000)]) >= 0.999
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5])
 def test_few_vectors(spark, n):
     df = spark.createDataFrame([(f"v{i}", [float(i + 1), 1.0] + [0.0] * 62) for i in range(n)], "product_id string, embedding array<float>")

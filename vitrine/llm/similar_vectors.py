@@ -1,5 +1,5 @@
 """The k most similar vectors of every vector: inverted file of coarse centroids with product-quantised residuals, asymmetric distance
-tables and exact reranking.
+tables and exact reranking of all that the error of the codes leaves open.
 
 Centroids and codebooks are fitted on a sample of at most SAMPLE vectors; every valid vector is indexed and every valid vector is a query.
 Vectors of one direction are one entry of the index; of their products at most the k + 1 first can be in anyone's k nearest, so a hot
@@ -32,6 +32,12 @@ SEED = 7
 SALTS = 16
 #: Digits to which cosines count as equal: copies of another length are copies.
 DIGITS = 7
+#: Neighbours of this cosine or more are found wherever they lie, whatever the number of probes.
+SURE = 0.9
+#: More than rounding takes from a product of unit vectors of single precision.
+SLACK = 1e-5
+#: Pairs that are multiplied exactly at a time.
+PAIRS = 100_000
 
 
 def _spread(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
@@ -115,10 +121,22 @@ def encode(x: np.ndarray, book: Codebook) -> tuple[np.ndarray, np.ndarray]:
     return at, out
 
 
-def search(q: np.ndarray, probes: list[np.ndarray], vec: np.ndarray, lists: np.ndarray, codes: np.ndarray, book: Codebook, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (-1 for none) and cosines of the k best entries of each query, among those in its probed lists.
+def allowed(x: np.ndarray, centroids: np.ndarray, lists: np.ndarray, least: float) -> np.ndarray:
+    """queries x lists: whether the list can hold an entry of cosine ``least`` (at least 0) or more with the query. The entries of a list lie
+    on its side of the plane between its centroid and the query's nearest one, and an entry within the angle of ``least`` is at most its sine
+    away from the query, so this leaves out no such entry."""
+    own, there = centroids[nearest(x, centroids)], centroids[lists]
+    gap = (own * own).sum(1)[:, None] + (there * there).sum(1) - 2 * own @ there.T
+    return (x * own).sum(1)[:, None] - x @ there.T <= (1 - least * least) ** 0.5 * np.sqrt(np.maximum(gap, 0) + 1e-6) + SLACK
 
-    Tables of each query with all codes give the asymmetric products; the best ``rerank`` by these are compared exactly.
+
+def search(q: np.ndarray, probes: list[np.ndarray], vec: np.ndarray, lists: np.ndarray, codes: np.ndarray, book: Codebook, k: int, rerank: int, least: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (-1 for none) and cosines of the k best entries of each query of cosine ``least`` or more, equal cosines by position: all
+    among those in its probed lists, and among the rest all of cosine SURE or more.
+
+    Tables of each query with all codes give the asymmetric products; the best ``rerank`` by these are compared exactly. The k-th of them is
+    the bar: whatever in the probed lists can reach it by its product plus the error of its code, and all of the further lists that may hold
+    entries of cosine SURE, is multiplied out.
     """
     order = np.argsort(lists, kind="stable")
     present, start = np.unique(lists[order], return_index=True)
@@ -126,9 +144,11 @@ def search(q: np.ndarray, probes: list[np.ndarray], vec: np.ndarray, lists: np.n
     slot = {int(l): i for i, l in enumerate(present)}
     parts, n_codes, d = book.codes.shape
     flat = codes[order].astype(np.int32) + np.arange(parts, dtype=np.int32) * n_codes
+    coded = book.centroids[lists[order]] + np.concatenate([book.codes[j][codes[order, j]] for j in range(parts)], axis=1)
     best, score = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf)
     rerank = max(k, min(rerank, len(order)))
-    exact = vec.astype(np.float64)
+    exact, ordered = vec.astype(np.float64), vec[order]
+    error = np.linalg.norm(ordered - coded, axis=1) + SLACK
     # queries of one list come together, so that few lists are touched at a time
     by_centroid = np.argsort(nearest(q, book.centroids), kind="stable")
     for lo in range(0, len(q), AT_ONCE):
@@ -139,36 +159,54 @@ def search(q: np.ndarray, probes: list[np.ndarray], vec: np.ndarray, lists: np.n
             for l in probes[at]:  # noqa: E741
                 by_list.setdefault(slot.get(int(l), -1), []).append(i)
         by_list.pop(-1, None)
-        if not by_list:
+        bar = np.full(len(x), least - SLACK)
+        wanted = np.zeros(len(order), bool)
+        for s in np.nonzero(allowed(x, book.centroids, present, max(SURE, least)).any(0))[0]:
+            wanted[start[s] : stop[s]] = True
+        if by_list:
+            used = sorted(by_list)
+            here = np.concatenate([np.arange(start[s], stop[s]) for s in used])
+            left = np.concatenate([[0], np.cumsum([stop[s] - start[s] for s in used])])
+            table = np.einsum("qpd,pcd->qpc", x.reshape(len(x), parts, d), book.codes, optimize=True).reshape(len(x), parts * n_codes)
+            coarse = x @ book.centroids[present[used]].T
+            seen = np.full((len(x), len(here)), -np.inf, np.float32)
+            for c, s in enumerate(used):
+                r = np.asarray(by_list[s])
+                f = flat[start[s] : stop[s]]
+                t = table[r]
+                total = t[:, f[:, 0]]
+                for j in range(1, parts):
+                    total += t[:, f[:, j]]
+                seen[r, left[c] : left[c + 1]] = total + coarse[r, c][:, None]
+            top = np.argpartition(-seen, rerank - 1, axis=1)[:, :rerank] if seen.shape[1] > rerank else np.tile(np.arange(seen.shape[1]), (len(x), 1))
+            cos = np.einsum("qd,qrd->qr", x.astype(np.float64), exact[order[here[top]]])
+            cos[~np.isfinite(np.take_along_axis(seen, top, 1))] = -np.inf
+            if cos.shape[1] >= k:
+                bar = np.maximum(bar, np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k] - SLACK)
+            wanted[here[(seen + error[here].astype(np.float32) >= bar[:, None]).any(0)]] = True
+        cols = np.nonzero(wanted)[0]
+        if not len(cols):
             continue
-        used = sorted(by_list)
-        here = np.concatenate([np.arange(start[s], stop[s]) for s in used])
-        left = np.concatenate([[0], np.cumsum([stop[s] - start[s] for s in used])])
-        table = np.einsum("qpd,pcd->qpc", x.reshape(len(x), parts, d), book.codes, optimize=True).reshape(len(x), parts * n_codes)
-        coarse = x @ book.centroids[present[used]].T
-        seen = np.full((len(x), len(here)), -np.inf, np.float32)
-        for c, s in enumerate(used):
-            r = np.asarray(by_list[s])
-            f = flat[start[s] : stop[s]]
-            t = table[r]
-            total = t[:, f[:, 0]]
-            for j in range(1, parts):
-                total += t[:, f[:, j]]
-            seen[r, left[c] : left[c + 1]] = total + coarse[r, c][:, None]
-        top = np.argpartition(-seen, rerank - 1, axis=1)[:, :rerank] if seen.shape[1] > rerank else np.tile(np.arange(seen.shape[1]), (len(x), 1))
-        pos = order[here[top]]
-        cos = np.einsum("qd,qrd->qr", x.astype(np.float64), exact[pos])
-        cos[~np.isfinite(np.take_along_axis(seen, top, 1))] = -np.inf
-        m = min(k, cos.shape[1])
-        rank = np.argsort(-cos, axis=1, kind="stable")[:, :m]
-        found = np.take_along_axis(cos, rank, 1)
-        score[which, :m] = found
-        best[which, :m] = np.where(np.isfinite(found), np.take_along_axis(pos, rank, 1), -1)
+        product = x @ ordered[cols].T
+        over = product >= bar[:, None]
+        many = np.nonzero(over.sum(1) > 4 * k)[0]
+        if len(many):
+            bar[many] = np.maximum(bar[many], np.partition(product[many], len(cols) - k, axis=1)[:, len(cols) - k] - SLACK)
+            over[many] = product[many] >= bar[many][:, None]
+        row, col = np.nonzero(over)
+        pos = order[cols[col]]
+        cos = np.concatenate([np.einsum("nd,nd->n", x[row[i : i + PAIRS]].astype(np.float64), exact[pos[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)] or [np.zeros(0)])
+        rank = np.lexsort((pos, -np.round(cos, DIGITS), row))
+        row, pos, cos = row[rank], pos[rank], cos[rank]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < k
+        best[which[row[kept]], place[kept]] = pos[kept]
+        score[which[row[kept]], place[kept]] = cos[kept]
     return best, score
 
 
-def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probes: int, rerank: int) -> DataFrame:
-    """cid, other, cosine: for each entry its k most similar other entries, as found."""
+def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probes: int, rerank: int, least: float = -1.0) -> DataFrame:
+    """cid, other, cosine: for each entry its k most similar other entries of cosine ``least`` or more, as found."""
     spark = entries.sparkSession
     entries = materialize(entries.select("cid", "u"), "entries")
     n = entries.count()
@@ -209,6 +247,7 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
             first[i], room = shard, room - s
     placing = spark.sparkContext.broadcast((first, split))
     blocks = max(1, -(-n // BLOCK))
+    filled = np.nonzero(sizes)[0]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, split = placing.value
@@ -217,9 +256,15 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
             x = np.frombuffer(b"".join(b.vec), np.float32).reshape(-1, dim)
             sim = x @ c.T
             near = np.argpartition(-sim, probes - 1, axis=1)[:, :probes] if probes < n_lists else np.tile(np.arange(n_lists), (len(x), 1))
+            # shards of further lists are asked too; which lists these are is found again there
+            meets = np.zeros((len(x), int((first + split).max())), bool)
+            for lo in range(0, len(x), 1024):
+                may = allowed(x[lo : lo + 1024], c, filled, max(SURE, least))
+                for i, l in enumerate(filled):  # noqa: E741
+                    meets[lo : lo + 1024, first[l] : first[l] + split[l]] |= may[:, i : i + 1]
             out = []
-            for cid, vec, block, lists in zip(b.cid, b.vec, b.block, near):
-                to: dict[int, list[int]] = {}
+            for cid, vec, block, lists, asked in zip(b.cid, b.vec, b.block, near, meets):
+                to: dict[int, list[int]] = {int(s): [] for s in np.nonzero(asked)[0]}
                 for l in lists:  # noqa: E741
                     for s in range(first[l], first[l] + split[l]):
                         to.setdefault(int(s), []).append(int(l))
@@ -246,7 +291,7 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
         vec = np.frombuffer(b"".join(left.vec), np.float32).reshape(-1, dim)
         codes = np.frombuffer(b"".join(left.code), np.uint8).reshape(len(left), -1)
         q = np.frombuffer(b"".join(right.vec), np.float32).reshape(-1, dim)
-        best, score = search(q, list(right.lists), vec, left["list"].to_numpy(), codes, held.value, k + 1, rerank)
+        best, score = search(q, list(right.lists), vec, left["list"].to_numpy(), codes, held.value, k + 1, rerank, least)
         at, col = np.nonzero(best >= 0)
         ids = left.cid.to_numpy()
         found = pd.DataFrame({"cid": right.qid.to_numpy()[at], "other": ids[best[at, col]], "cosine": score[at, col]})
@@ -257,12 +302,12 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def similar(vectors: DataFrame, item: str, embedding: str, k: int = 10, probe_share: float = 0.12, least_probes: int = 64, rerank: int = 200) -> DataFrame:
+def similar(vectors: DataFrame, item: str, embedding: str, k: int = 10, probe_share: float = 0.12, least_probes: int = 64, rerank: int = 200, least: float = -1.0) -> DataFrame:
     """item, other, cosine, place (1 to k): the k most similar other items of each item with a valid vector (equal cosines: smaller item
-    first). Items with invalid vectors take no part; with fewer than k others all come out."""
+    first). Items with invalid vectors take no part; with fewer than k others all come out. Of those under ``least`` not all need come out."""
     members, entries = directions(vectors, item, embedding, k)
     entries = materialize(entries, "entries")
-    found = class_neighbours(entries, k, probe_share, least_probes, rerank)
+    found = class_neighbours(entries, k, probe_share, least_probes, rerank, least)
     first = entries.select("cid", "n", "first")
     # an entry with k + 1 members fills its members' places by itself
     own = _spread(members, first.where("n > 1").select("cid", "first"), "cid").select("item", F.explode("first").alias("other"), F.lit(1.0).alias("cosine")).where(F.col("item") != F.col("other"))
@@ -276,7 +321,7 @@ def similar(vectors: DataFrame, item: str, embedding: str, k: int = 10, probe_sh
 
 
 def similar_pairs(vectors: DataFrame, item: str, embedding: str, least: float, k: int = 10) -> DataFrame:
-    """item_a < item_b with cosine at least ``least`` of which one is among the k most similar of the other. So near a pair shares a list
-    or lies in neighbouring ones, so few lists are probed."""
-    near = similar(vectors, item, embedding, k, probe_share=0.01, least_probes=8, rerank=64).where(F.col("cosine") >= least)
+    """item_a < item_b with cosine at least ``least`` of which one is among the k most similar of the other. So near a pair mostly
+    shares a list or lies in neighbouring ones, so few lists are probed by tables; SURE and the bounds of search() find the rest."""
+    near = similar(vectors, item, embedding, k, probe_share=0.01, least_probes=8, rerank=64, least=least).where(F.col("cosine") >= least)
     return near.select(F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b")).distinct()
