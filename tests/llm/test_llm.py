@@ -174,6 +174,16 @@ def test_no_baskets(spark):
     assert tg.together(spark.createDataFrame([], EVENT), "user_id", "product_id", utc_day(F.col("occurred_at")), 1, 0.0).count() == 0
 
 
+def test_pairs_of_one_shared_basket_come_out(spark, tmp_path):
+    from vitrine.llm import load
+
+    day = lambda d: dt.datetime(2024, 1, d, 12)
+    data = [("u1", "a", day(1)), ("u1", "b", day(1)), ("u1", "c", day(1)), ("u2", "a", day(1)), ("u2", "b", day(1)), ("u3", "d", day(2))]
+    spark.createDataFrame([(*d, 1, "clash", 0) for d in data], EVENT).write.parquet(str(tmp_path / "interactions.parquet"))
+    got = sorted((r.product_id_a, r.product_id_b, r.n_ab, round(r.ratio, 6)) for r in load().queries["p4_all_pairs"](spark, str(tmp_path)).collect())
+    assert got == [(*k[:3], round(k[3], 6)) for k in plain_together(data, 1, 0.0)] == [("a", "b", 2, 1.5), ("a", "c", 1, 1.5), ("b", "c", 1, 1.5)]
+
+
 # ---- p7
 
 

@@ -80,6 +80,13 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return d.select(F.col("item_a").alias("product_id_a"), F.col("item_b").alias("product_id_b"), "n_ab", "n_a", "n_b", F.round("ratio", 6).alias("ratio"))
 
 
+@LLM.query("p4_all_pairs", P4_SQL.format(least=1) + "SELECT a AS product_id_a, b AS product_id_b, n_ab, n_a, n_b, round(ratio, 6) AS ratio FROM r")
+def p4_all_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair that shares a basket, however few and whatever its ratio to chance: the whole result that p4_pairs and p4_found cut."""
+    d = _together(spark, folder, 1, 0.0)
+    return d.select(F.col("item_a").alias("product_id_a"), F.col("item_b").alias("product_id_b"), "n_ab", "n_a", "n_b", F.round("ratio", 6).alias("ratio"))
+
+
 @LLM.query("p7_found")
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     near = sv.similar_pairs(table(spark, folder, "product_vectors"), "product_id", "embedding", 0.9)
