@@ -29,6 +29,14 @@ def test_query_equals_sql(spark, con, name):
     assert difference(__spark_entry__.queries()[name](spark, FOLDER), __spark_entry__.oracle_sql()[name], con) == ""
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_probed_recall_is_at_least_nine_tenths(spark, folder):
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    r = [x.recall for x in __spark_entry__.queries()["ann_probed_recall"](spark, folder).collect()]
+    assert r and sum(r) / len(r) >= 0.9, sum(r) / len(r)
+
+
 def test_entry_and_names(spark):
     core = load()
     assert set(core.sql) <= set(core.queries)

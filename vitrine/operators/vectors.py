@@ -94,11 +94,32 @@ def bucket(v: Column, normals: list[list[float]]) -> Column:
     return total.cast("bigint")
 
 
-def lsh_top_k(queries: DataFrame, items: DataFrame, k: int, tables: list[list[list[float]]], query: str = "query_id", item: str = "product_id", vector: str = "v") -> DataFrame:
-    """query, item, score, rank among the items that share a bucket with the query in any table (multi-table probing)."""
-    side = lambda df, c: df.select(c, F.col(vector), F.explode(F.array(*[F.struct(F.lit(t).alias("t"), bucket(F.col(vector), p).alias("b")) for t, p in enumerate(tables)])).alias("h")).select(c, vector, "h.t", "h.b")
-    q, i = side(queries, query), side(items, item).withColumnRenamed(vector, "_w")
-    met = q.join(i, ["t", "b"]).groupBy(query, item).agg(F.first(vector).alias(vector), F.first("_w").alias("_w"))
+def probed_buckets(v: Column, normals: list[list[float]], probes: int) -> Column:
+    """The ``probes`` buckets nearest to the vector, its own first: of the sides that are flipped, the squared margins add up to the least."""
+    margins = F.array(*[dot(v, F.array(*[F.lit(x) for x in p])) for p in normals])
+    # the one-element array binds margins and own bucket once for all flips
+    bound = F.array(F.struct(margins.alias("m"), bucket(v, normals).alias("b")))
+
+    def nearest(p: Column) -> Column:
+        cost = lambda flip: sum((F.when(flip.bitwiseAND(F.lit(1 << i)) != 0, F.get(p["m"], F.lit(i)) * F.get(p["m"], F.lit(i))).otherwise(0.0) for i in range(len(normals))), F.lit(0.0))
+        flips = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << len(normals)) - 1).cast("bigint")), lambda f: F.struct(cost(f).alias("cost"), f.alias("flip")))
+        return F.transform(F.slice(F.array_sort(flips), 1, probes), lambda f: p["b"].bitwiseXOR(f["flip"]))
+
+    return F.get(F.transform(bound, nearest), F.lit(0))
+
+
+def lsh_top_k(queries: DataFrame, items: DataFrame, k: int, tables: list[list[list[float]]], query: str = "query_id", item: str = "product_id", vector: str = "v", probes: int = 1) -> DataFrame:
+    """query, item, score, rank among the items that lie in one of the query's ``probes`` nearest buckets in any table (multi-table probing;
+    with 1 its own bucket alone). A pair is scored in the first table in which it meets, so no vectors are shuffled to drop repeats."""
+    own = lambda p: F.array(bucket(F.col(vector), p)) if probes == 1 else probed_buckets(F.col(vector), p, probes)
+    q = queries.select(query, F.col(vector), F.array(*[own(p) for p in tables]).alias("_qb"))
+    i = items.select(item, F.col(vector).alias("_w"), F.array(*[bucket(F.col(vector), p) for p in tables]).alias("_ib"))
+    q = q.select("*", F.posexplode("_qb").alias("t", "_at")).select(query, vector, "_qb", "t", F.explode("_at").alias("b"))
+    i = i.select("*", F.posexplode("_ib").alias("t", "b"))
+    met_before = F.lit(False)
+    for t in range(len(tables) - 1):
+        met_before = met_before | ((F.col("t") > t) & F.array_contains(F.get("_qb", F.lit(t)), F.get("_ib", F.lit(t))))
+    met = q.join(i, ["t", "b"]).where(~met_before)
     scored = met.select(query, item, F.round(dot(F.col(vector), F.col("_w")), 9).alias("score"))
     return ranked(scored, [query], "score", item).where(F.col("rank") <= k)
 

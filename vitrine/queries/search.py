@@ -263,8 +263,12 @@ _LSH = ", ".join(f"h{t} AS (SELECT product_id, v, {_bucket_sql('v', p)} AS b FRO
 LSH = _LSH + ", met AS (" + " UNION ".join(f"SELECT q{t}.query_id, h{t}.product_id, round(list_dot_product(q{t}.v, h{t}.v), 9) AS score FROM q{t} JOIN h{t} USING (b)" for t in range(4)) + "), lshr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM met)"
 
 
-def lsh_ranked(spark, folder, k: int = 10) -> DataFrame:
-    return ve.lsh_top_k(query_set(spark, folder).select("query_id", "v"), unit_vectors(spark, folder).select("product_id", "v"), k, _PLANES)
+#: Buckets of a table, of its 64, that the probed queries look into.
+PROBES = 16
+
+
+def lsh_ranked(spark, folder, k: int = 10, probes: int = 1) -> DataFrame:
+    return ve.lsh_top_k(query_set(spark, folder).select("query_id", "v"), unit_vectors(spark, folder).select("product_id", "v"), k, _PLANES, probes=probes)
 
 
 @CORE.query("knn_lsh", f"WITH {QUERY_SET}, {LSH} SELECT query_id, product_id, rank FROM lshr WHERE rank <= 10")
@@ -278,6 +282,18 @@ def ann_recall(spark, folder):
     return d.select("query_id", F.round("recall", 6).alias("recall"))
 
 
+@CORE.query("knn_probed")
+def knn_probed(spark, folder):
+    """knn_lsh over the nearest buckets of each table, not the query's own alone."""
+    return lsh_ranked(spark, folder, probes=PROBES).select("query_id", "product_id", "rank")
+
+
+@CORE.query("ann_probed_recall")
+def ann_probed_recall(spark, folder):
+    d = ve.recall(lsh_ranked(spark, folder, probes=PROBES), semantic_ranked(spark, folder, 10), 10)
+    return d.select("query_id", F.round("recall", 6).alias("recall"))
+
+
 @CORE.query("encode_hash")
 def encode_hash(spark, folder):
     """Titles encoded by the hashing encoder."""
