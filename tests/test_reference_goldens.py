@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -205,6 +206,21 @@ def test_learning(spark):
     assert all(r.negative in (2, 3) for r in n)
 
 
+def test_every_positive_gets_a_negative(spark):
+    """Users with nearly all items, whom eight draws mostly miss, and one with every item."""
+    items = {"most": [i for i in range(1000) if i not in (0, 17, 18, 999)], "but_one": list(range(1, 1000)), "few": [3, 4]}
+    pos = spark.createDataFrame([(u, i) for u, x in items.items() for i in x], "user_id string, item bigint")
+    n = spark.createDataFrame([(1000,)], "_n bigint")
+    got = learn.negatives(pos, n, "user_id", "item", 1).collect()
+    assert sorted((r.user_id, r.item) for r in got) == sorted((u, i) for u, x in items.items() for i in x)
+    assert all(0 <= r.negative < 1000 and r.negative not in items[r.user_id] for r in got)
+    share = Counter(r.negative for r in got if r.user_id == "most")
+    assert set(share) == {0, 17, 18, 999} and min(share.values()) > 180
+    full = spark.createDataFrame([("all", i) for i in range(5)], "user_id string, item bigint")
+    with pytest.raises(Exception, match="without an eligible negative"):
+        learn.negatives(full, spark.createDataFrame([(5,)], "_n bigint"), "user_id", "item", 1).collect()
+
+
 def test_ingest(spark):
     old = spark.createDataFrame([("a", "x", 1), ("b", "y", 1)], "id string, v string, created int")
     new = spark.createDataFrame([("b", "z", 9), ("c", "w", 9), ("b", "last", 9)], "id string, v string, created int")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from vitrine.functions import text as tx
+from vitrine.plans.storage import materialize
 
 # fixed values: the feature order is a contract of trained models
 FEATURES = [
@@ -183,8 +184,23 @@ def score_with(df: DataFrame, names: list[str], model: Mlp) -> DataFrame:
 
 def negatives(positives: DataFrame, n_items: DataFrame, user: str, item: str, epoch: int, tries: int = 8) -> DataFrame:
     """user, item, negative: for each positive pair an item index that the user does not have, drawn by hash from 0..n-1; the first valid of
-    ``tries`` draws counts, and a pair without one has no row."""
-    draws = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.pmod(F.xxhash64(F.lit(epoch), F.lit(t), F.col(user), F.col(item)), F.col("_n")).alias("negative")) for t in range(tries)]))
-    drawn = positives.crossJoin(F.broadcast(n_items)).select(user, item, draws.alias("d")).select(user, item, "d.t", "d.negative")
+    ``tries`` draws counts. A pair without one, of a user with most of the items, gets the r-th index that the user lacks, r drawn by hash
+    too. A user who has every item is an error."""
+    total = F.broadcast(n_items)
+    draw = lambda t, n: F.pmod(F.xxhash64(F.lit(epoch), F.lit(t), F.col(user), F.col(item)), n)
+    draws = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), draw(t, F.col("_n")).alias("negative")) for t in range(tries)]))
+    drawn = positives.crossJoin(total).select(user, item, draws.alias("d")).select(user, item, "d.t", "d.negative")
     valid = drawn.join(positives.select(user, F.col(item).alias("negative")), [user, "negative"], "left_anti")
-    return valid.groupBy(user, item).agg(F.min_by("negative", "t").alias("negative"))
+    found = materialize(valid.groupBy(user, item).agg(F.min_by("negative", "t").alias("negative")), "negatives")
+    rest = materialize(positives.select(user, item).where(F.col(user).isNotNull() & F.col(item).isNotNull()).distinct().join(found, [user, item], "left_anti"), "undrawn")
+    # the user's j-th item (from 0) has item - j lacking indices before it, so the r-th lacking index is r plus the number of these up to r
+    had = positives.join(rest.select(user).distinct(), user, "left_semi").crossJoin(total).where((F.col(item) >= 0) & (F.col(item) < F.col("_n"))).select(user, F.col(item).cast("bigint").alias("_i")).distinct()
+    gaps = had.withColumn("_r", F.col("_i") - F.row_number().over(W.partitionBy(user).orderBy("_i")) + 1)
+    lacking = rest.join(had.groupBy(user).agg(F.count(F.lit(1)).alias("_had")), user, "left").crossJoin(total).withColumn("_free", F.col("_n") - F.coalesce("_had", F.lit(0)))
+    none = F.raise_error(F.concat(F.lit("user without an eligible negative item: "), F.col(user).cast("string"))).cast("bigint")
+    wanted = lacking.select(user, F.col(item), F.when(F.col("_free") > 0, draw(tries, F.greatest(F.col("_free"), F.lit(1)))).otherwise(none).alias("_r"))
+    both = gaps.select(user, F.lit(None).cast(positives.schema[item].dataType).alias(item), "_r", F.lit(1).alias("_gap")).unionByName(wanted.withColumn("_gap", F.lit(0)))
+    # a range window counts the gaps of equal _r too
+    before = F.sum("_gap").over(W.partitionBy(user).orderBy("_r").rangeBetween(W.unboundedPreceding, W.currentRow))
+    late = both.withColumn("negative", F.col("_r") + before).where("_gap = 0").select(user, item, "negative")
+    return found.unionByName(late)
