@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.times import utc_day
 from vitrine.llm import fusion_rank as fr
-from vitrine.llm import listing_parse as lp
+from vitrine.llm import listing_text as lt
 from vitrine.llm import packing
 from vitrine.llm import same_product as sp
 from vitrine.llm import similar_vectors as sv
@@ -40,32 +40,69 @@ def listings(spark, rows):
     return spark.createDataFrame([(*r, "clash", 1, 2.0) for r in rows], LISTING)
 
 
-def test_reading_of_wordings():
-    a = lp.parse("NEW Glohidias scented mist 500 ml Trio, charcoal scent by Cenomo", None, "Cenomo®")
-    b = lp.parse("charcoal Glohidias body mist 16.9-ounce Set of 3", "Made by CENOMO.", None)
-    reading = lambda p: (lp.name_set(p[0], p[1], p[6]), p[2], p[3], lp.content_step(p[4]), p[5])
-    assert reading(a) == reading(b) == (["cenomo", "glohidias"], 37, "charcoal", 500.0, 3)
-    assert lp.parse("Kola balm for feet 0.5 Kg", "You get: No. 23 moonstone.", "Kola")[2:6] == (11, "moonstone", 500.0, None)
-    assert lp.parse(None, None, None) == (None, None, None, None, None, None, [])
-    assert lp.slip("glohidias", "glohiidias") and lp.slip("hidristeol", "hidirsteol") and not lp.slip("glohidias", "glohidxyz")
-    assert lp.net_content("12 x 300 g")[0] == 300.0
+def test_reading_of_units():
+    read = lambda t, d=None: (lambda r: (r[0], r[1]))(lt.read(t, d, None))
+    meet = lambda x, y: any(a[0] == b[0] and a[1] <= b[2] and b[1] <= a[2] for a in x for b in y)
+    for a, b, same in [("500 ml", "16.9 fl oz", True), ("0.5 l", "50cl", True), ("12.5 g", "12,5 gr", True), ("120 g", "125 g", False), ("100 g", "3.5 oz", True), ("400 ml", ".4 litre", True), ("75 ml", "75 g", False)]:
+        assert meet(read(a)[0], read(b)[0]) == same, (a, b)
+    counts = {"12 x 300 g": 12, "Pack of 3": 3, "multipack 4 units": 4, "six-pack": 6, "Trio": 3, "twin pack": 2, "x2": 2, "2-Pack 30 cl": 2, "(2 count)": 2, "nothing": 1, "1x2": 1}
+    assert {t: read(t)[1] for t in counts} == counts
+    assert read("4 x 0.3 l")[0] == [("volume", 297.0, 303.0)]
+    assert lt.read(None, None, None) == ([], 1, [], [])
+    assert [s[1] for s in lt.read("Ça <b>Crème</b>, 07 Dune", "x &amp; y", "Ŵ")[2]] == [["ca"], ["creme"], ["7", "dune"], ["x"], ["y"]] or lt.read("Ça", None, "Ŵ")[3] == ["w"]
 
 
-def test_same_articles_are_grouped(spark):
+def test_unlike_articles_of_unseen_words_stay_apart(spark):
     rows = [
-        ("a1", "Cenomo Glohidias body mist charcoal 500ml", None, "Cenomo", "s1"), ("a2", "charcoal Glohidias scented mist 16.9 fl oz CENOMO", None, None, "s2"), ("a3", "Glohiidias fragrance mist by Cenomo - charcoal scent - 0.5 L", "", "N/A", "s3"),
-        ("b1", "Cenomo Glohidias body mist charcoal 500ml Pack of 3", None, "Cenomo", "s1"), ("b2", "Glohidias mist", "Our scented mist. Variant: charcoal. Contents: 500 ml. Sold as: Trio. Made by Cenomo.", None, "s4"),
-        ("c1", "Cenomo Glohidias body mist amber 500ml", None, "Cenomo", "s5"), ("d1", None, None, None, None), ("d2", "", "", "", ""), ("e1", "x" * 200_000, "y " * 50_000, None, "s1"),
-        ("a1", "Cenomo Glohidias body mist charcoal 500ml", None, "Cenomo", "s1"), (None, "Cenomo Glohidias body mist charcoal 500ml", None, "Cenomo", "s9"),
+        ("a1", "Velmora Aurel Hand Cream Argan 75 ml", None, "Velmora", "s1"), ("a2", "Velmora Aurel Hand Cream Lotus 75 ml", None, "Velmora", "s2"), ("a3", "75 ml hand cream AUREL argan, Velmora", "", None, "s3"),
+        ("b1", "Zorin Desk Lamp 40 cm black", None, "Zorin", "s1"), ("b2", "Zorin Desk Chair 90 cm red", None, "Zorin", "s2"), ("b3", "Zorin Desk Lamp 40 cm black Pack of 3", None, "Zorin", "s3"),
+        ("c1", "Kumo Teal 120 g", None, None, "s1"), ("c2", "Kumo Teal 125 g", None, None, "s2"), ("c3", "Kumo Teal 0.12 kg", None, None, None), ("c4", "Kumo Teal 4.2 oz", None, None, None),
+        ("d1", None, None, None, None), ("d2", "", "", "", ""), ("e1", "x" * 200_000, "y " * 50_000, None, "s1"),
+        ("a1", "Velmora Aurel Hand Cream Argan 75 ml", None, "Velmora", "s1"), (None, "Velmora Aurel Hand Cream Argan 75 ml", None, "Velmora", "s9"),
     ]
-    assert rows_of(sp.same_product_pairs(listings(spark, rows))) == [("a1", "a2"), ("a1", "a3"), ("a2", "a3"), ("b1", "b2")]
-
-
-def test_seller_lists_an_article_once(spark):
-    # s1 lists both spellings, so the slip is another article to it and the two are not merged
-    rows = [("a", "Cenomo Glohidias body mist amber 500ml", None, "Cenomo", "s1"), ("b", "Cenomo Glohiidias body mist amber 500ml", None, "Cenomo", "s1"), ("c", "Cenomo Glohidias body mist amber 500ml", None, "Cenomo", "s2")]
-    assert rows_of(sp.same_product_pairs(listings(spark, rows))) == [("a", "c")]
+    assert rows_of(sp.same_product_pairs(listings(spark, rows))) == [("a1", "a3"), ("c1", "c3"), ("c1", "c4"), ("c3", "c4")]
     assert sp.same_product_pairs(listings(spark, [])).count() == 0
+    assert sp.same_product_pairs(listings(spark, rows[10:12])).count() == 0
+
+
+def catalogue(seed: int, n_lines: int, hot: int = 0):
+    """Listings in invented words with the article of each: kinds of three wordings, variants of two, praise, boilerplate, slips, converted
+    units. The first article has ``hot`` more listings, all of one store."""
+    rng = random.Random(seed)
+    word = lambda n=3: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(n))
+    kinds = [[f"{word()} {w}", f"{word()} {w}", f"{w} {word(2)} {word()}"] for w in (word() for _ in range(12))]
+    variants = [(word(), f"{rng.randint(30, 90)} {word()}") for _ in range(20)]
+    praise = [f"{word(2)} {word(2)}" for _ in range(10)]
+    boiler = [" ".join(word(2) for _ in range(6)) for _ in range(10)]
+    sizes = {50: ["50 ml", "5 cl", "1.7 fl oz"], 100: ["100ml", "0.1 l", "3.4 fl oz"], 250: ["250 ml", "25cl", "8.5 fl oz"]}
+    makers = [word(4) for _ in range(n_lines // 4)]
+    rows, truth = [], {}
+    for line in range(n_lines):
+        name, maker = word(4), rng.choice(makers)
+        for article in {(rng.randrange(12), rng.randrange(20), rng.choice([50, 100, 250]), rng.choice([1, 1, 3])) for _ in range(rng.randint(1, 2))}:
+            stores = rng.sample(range(40), rng.choice([1, 2, 3, 5])) + [99] * (hot if not truth else 0)
+            for store in stores:
+                k, v, size, n = article
+                said = name if rng.random() > 0.05 else name[:3] + name[4:]
+                parts = [f"{maker if rng.random() < 0.7 else ''} {said} {rng.choice(kinds[k])}", rng.choice(variants[v]), rng.choice(sizes[size]), f"pack of {n}" if n > 1 else ""]
+                pid = f"p{len(truth):05d}"
+                truth[pid] = (line, *article)
+                rows.append((pid, ", ".join([*(p for p in parts if p), *rng.sample(praise, rng.randint(0, 2))]), ". ".join(rng.sample(boiler, 2)), maker if rng.random() < 0.8 else None, f"s{store}"))
+    return rows, truth
+
+
+@pytest.mark.parametrize("hot", [0, 600])
+def test_unseen_catalogue_is_matched(spark, monkeypatch, hot):
+    monkeypatch.setattr(sp, "CHUNK", 64)
+    monkeypatch.setattr(sp, "SETS", 8)
+    rows, truth = catalogue(3, 400, hot)
+    found = {tuple(r) for r in sp.same_product_pairs(listings(spark, rows)).collect()}
+    articles: dict[tuple, list[str]] = {}
+    for pid, article in truth.items():
+        articles.setdefault(article, []).append(pid)
+    true = {p for ids in articles.values() for p in itertools.combinations(sorted(ids), 2)}
+    assert len(found & true) >= 0.9 * len(true)
+    assert len(found & true) >= 0.98 * len(found)
 
 
 def test_matching_is_of_maximum_weight():
@@ -81,10 +118,23 @@ def test_matching_is_of_maximum_weight():
 
 
 def test_merge_refuses_inconsistent_cycles():
-    holders = [(["h1"], 1), (["h2"], 1), (["x"], 1)]
-    links = {("h1", "x"): 0.6, ("h2", "x"): 0.5}
-    assert sp.merge_component(holders, links, {"h1": "amber", "h2": "tonka", "x": None}) == {"h1": "h1", "x": "h1", "h2": "h2"}
-    assert len(set(sp.merge_component(holders, links, {"h1": "amber", "h2": "amber", "x": None}).values())) == 1
+    links = {("a", "b"): 1.0, ("b", "c"): 0.9, ("c", "d"): 1.0}
+    whole = {("a", "b"): 2, ("b", "c"): 1, ("c", "d"): 1}
+    assert len(set(sp.merge_component(whole, links, set()).values())) == 1
+    # a and d state different things, so the weakest link of the chain gives way
+    assert sp.merge_component(whole, links, {("a", "d")}) == {"a": "a", "b": "a", "c": "c", "d": "c"}
+    # unmatched pairs join only if their score is high
+    assert sp.merge_component({}, links | {("b", "c"): 0.6}, set()) == {"a": "a", "b": "a", "c": "c", "d": "c"}
+
+
+def test_supports_of_chunks_add_up():
+    rng = random.Random(4)
+    classes = [f"c{i}" for i in range(8)]
+    links = {p: rng.choice([0.5, 0.8, 1.0]) for p in itertools.combinations(classes, 2) if rng.random() < 0.6}
+    sets = [(sorted(rng.sample(classes, rng.randint(1, 3))), rng.randint(1, 3)) for _ in range(9)]
+    whole = Counter(sp.supports(sets, None, links))
+    parts = Counter(sp.supports(sets[:4], None, links)) + Counter(sp.supports(sets[4:], None, links)) + Counter(sp.supports(sets[:4], sets[4:], links))
+    assert whole == parts
 
 
 def test_components(spark):
