@@ -16,6 +16,7 @@ from vitrine.plans.storage import materialize
 CHUNK = 128
 #: Parts that the items of a basket are spread over while they are joined with facts about the basket.
 SALTS = 32
+MAX_HOT = 1_000
 
 
 def baskets(events: DataFrame, user: str, item: str, day: Column) -> DataFrame:
@@ -55,8 +56,13 @@ def pair_counts(rows: DataFrame, n_baskets: DataFrame, min_count: int, min_ratio
     able = items.where(F.col("n") >= min_count).crossJoin(total).where(F.col("n") * F.lit(float(min_ratio)) <= F.col("all_baskets")).select("item", "n")
     # what is too frequent goes first, by itself: at most min_ratio times the mean basket size items, so that no hot item is shuffled
     frequent = items.crossJoin(total).where(F.col("n") * F.lit(float(min_ratio)) > F.col("all_baskets")).select("item")
-    kept = rows.join(F.broadcast(frequent), "item", "left_anti") if min_ratio >= 1 else rows
-    chunks = materialize(_chunks(kept.join(able, "item")), "chunks")
+    kept = rows.join(F.broadcast(frequent), "item", "left_anti") if min_ratio >= 1 else rows  # below 1 no item is too frequent
+    # an item with at least 1/MAX_HOT of the rows gets its count by broadcast, of at most MAX_HOT rows; the rest are joined by shuffle
+    all_rows = F.broadcast(items.agg(F.sum("n").alias("all_rows")))
+    able = able.crossJoin(all_rows).select("item", "n", (F.col("n") * MAX_HOT >= F.col("all_rows")).alias("hot"))
+    hot = F.broadcast(able.where("hot").select("item", "n"))
+    counted = kept.join(hot, "item").unionByName(kept.join(hot.select("item"), "item", "left_anti").join(able.where("NOT hot").select("item", "n"), "item"))
+    chunks = materialize(_chunks(counted), "chunks")
     # within a chunk
     inner = chunks.where(F.size("items") > 1).select(F.explode(_pairs(F.col("items"), F.col("items"), F.lit(True))).alias("p"))
     # between chunks of a basket: each chunk meets the others under the key of their pair
