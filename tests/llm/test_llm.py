@@ -165,15 +165,16 @@ def plain_borda(rows, weights):
                     points[i] += w * (n - 1) * 0.5
                 else:
                     rank = 1 + sum(x > c[k] for x in have) + (have.count(c[k]) - 1) / 2
-                    points[i] += w * (n - ((rank - 0.5) * n / len(have) + 0.5))
+                    points[i] += w * (n - rank)
         for place, i in enumerate(sorted(items, key=lambda i: (-round(points[i], 7), i)), 1):
             out.append((r, i, place))
     return sorted(out)
 
 
 @pytest.mark.parametrize("hot", [10**9, 1])
-def test_borda_equals_plain(spark, hot):
-    """Once by windows alone, once with a request of most rows on the spread way."""
+def test_borda_equals_plain(spark, monkeypatch, hot):
+    """Once by windows alone, once with a request of most rows on the spread way, its ties by ranges."""
+    monkeypatch.setattr(fr, "BIG_TIE", 20)
     rng = random.Random(7)
     score = lambda: rng.choice([None, math.nan, math.inf, 1.0, 1.0, 2.0, rng.random() * 1e6, -3.5])
     data = [("big", f"i{j:05}", score(), rng.choice([0.0, 1.0])) for j in range(1500)] + [(f"r{j % 9}", f"i{rng.randrange(40)}", score(), score()) for j in range(300)]

@@ -1,8 +1,7 @@
 """One ranking from scores on unlike scales, by Borda count.
 
-Per request and score, candidates get competition ranks with averaged ties (best first), stretched to the number of candidates, so that a
-score that few candidates have weighs as much as one that all have. A missing score gets the mid-rank. A candidate's points are the
-weighted sum of (candidates - rank); candidates are ordered by points, then by identifier.
+Per request and score, candidates get competition ranks with averaged ties (best first). A missing score gets the mid-rank of the request.
+A candidate's points are the weighted sum of (candidates - rank); candidates are ordered by points, then by identifier.
 
 A request with more than 1/MAX_HOT of all rows is ranked without gathering it: by counts of distinct scores, added up over buckets of the
 score that are cut at its quantiles. Both ways give the same ranks.
@@ -21,6 +20,8 @@ from vitrine.plans.storage import materialize
 MAX_HOT = 200
 CUTS = 256
 SALTS = 16
+#: A request of so many rows may be hot; ties of more rows are ordered by ranges.
+LEAST_HOT, BIG_TIE = 1_000, 10_000
 
 
 def candidates(df: DataFrame, request: str, item: str, scores: dict[str, tuple[str, str | None]]) -> DataFrame:
@@ -36,10 +37,9 @@ def candidates(df: DataFrame, request: str, item: str, scores: dict[str, tuple[s
     return rows.groupBy("request", "item").agg(*[F.max(n).alias(n) for n in scores])
 
 
-def _points(n: Column, m: Column, rank: Column, weight: float) -> Column:
-    """Points of one score: rank of m that have it, stretched to n; half of n if missing."""
-    stretched = (rank - 0.5) * n / m + 0.5
-    return F.when(rank.isNull(), (n - 1) * F.lit(0.5)).otherwise(n - stretched) * F.lit(float(weight))
+def _points(n: Column, rank: Column, weight: float | Column) -> Column:
+    """Points of one score: candidates less rank; a missing score has the mid-rank (n + 1) / 2."""
+    return (n - F.coalesce(rank, (n + 1) * F.lit(0.5))) * (F.lit(float(weight)) if isinstance(weight, float) else weight)
 
 
 def _light(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -49,7 +49,7 @@ def _light(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     for name, weight in weights.items():
         same = W.partitionBy("request", name)
         rank = F.when(F.col(name).isNotNull(), F.rank().over(everyone.orderBy(F.col(name).desc_nulls_last())) + (F.count(F.lit(1)).over(same) - 1) / 2)
-        parts.append(_points(n, F.count(name).over(everyone), rank, weight))
+        parts.append(_points(n, rank, float(weight)))
     pointed = rows.withColumn("points", F.round(reduce(lambda a, b: a + b, parts), 9))
     place = F.row_number().over(everyone.orderBy(F.col("points").desc(), "item"))
     return pointed.select("request", "item", "points", place.cast("bigint").alias("place"))
@@ -77,27 +77,25 @@ def _heavy(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     long = rows.select("request", "item", F.explode(entries).alias("e")).select("request", "item", "e.*")
     have = long.where(F.col("v").isNotNull())
     values = have.groupBy("request", "score", "v").agg(F.count(F.lit(1)).alias("w"))
-    m = values.groupBy("request", "score").agg(F.sum("w").alias("m"))
     ranks = _before(values, ["request", "score"]).withColumn("rank", F.col("before") + (F.col("w") + 1) / 2)
     ranked = _attach(have, ranks.select("request", "score", "v", "rank"), ["request", "score", "v"])
     each = ranked.unionByName(long.where(F.col("v").isNull()).withColumn("rank", F.lit(None).cast("double")))
-    each = each.join(F.broadcast(sizes), "request").join(F.broadcast(m), ["request", "score"], "left")
-    p = F.when(F.col("rank").isNull(), (F.col("n") - 1) * F.lit(0.5)).otherwise(F.col("n") - ((F.col("rank") - 0.5) * F.col("n") / F.col("m") + 0.5)) * F.col("weight")
+    each = each.join(F.broadcast(sizes), "request")
+    p = _points(F.col("n"), F.col("rank"), F.col("weight"))
     # added in the order of the scores' names as given, so that sums are the same on both ways
     per = each.groupBy("request", "item").agg(*[F.max(F.when(F.col("score") == name, p)).alias(f"p_{i}") for i, name in enumerate(weights)])
     pointed = materialize(per.select("request", "item", F.round(reduce(lambda a, b: a + b, [F.col(f"p_{i}") for i in range(len(weights))]), 9).alias("points")), "points")
     tied = pointed.groupBy("request", (-F.col("points")).alias("v")).agg(F.count(F.lit(1)).alias("w"))
     better = _before(tied, ["request"]).select("request", "v", F.col("before").alias("better"), "w")
     at = _attach(pointed.withColumn("v", -F.col("points")), better, ["request", "v"])
-    # a tie of many is ordered through the first letters of the identifier, as a number
-    big = at.where(F.col("w") > 10_000)
-    few = at.where(F.col("w") <= 10_000)
-    few = few.withColumn("place", F.col("better") + F.row_number().over(W.partitionBy("request", "points").orderBy("item")))
-    letters = F.conv(F.rpad(F.hex(F.substring(F.col("item").cast("string"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
-    big = big.withColumn("v2", letters)
-    starts = _before(big.groupBy("request", "points", F.col("v2").alias("v")).agg(F.count(F.lit(1)).alias("w")), ["request", "points"])
-    big = big.join(starts.select("request", "points", F.col("v").alias("v2"), F.col("before").alias("earlier")), ["request", "points", "v2"])
-    big = big.withColumn("place", F.col("better") + F.col("earlier") + F.row_number().over(W.partitionBy("request", "points", "v2").orderBy("item")))
+    # a tie of many is cut into ranges of the identifier, and the ranges before a row are added up
+    many = F.col("w") > BIG_TIE
+    few = at.where(~many).withColumn("place", F.col("better") + F.row_number().over(W.partitionBy("request", "points").orderBy("item")))
+    big = materialize(at.where(many).repartitionByRange("request", "points", "item").withColumn("range", F.spark_partition_id()), "ties")
+    sizes = big.groupBy("request", "points", "range").agg(F.count(F.lit(1)).alias("s"))
+    earlier = F.coalesce(F.sum("s").over(W.partitionBy("request", "points").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    big = big.join(sizes.select("request", "points", "range", earlier.alias("earlier")), ["request", "points", "range"])
+    big = big.withColumn("place", F.col("better") + F.col("earlier") + F.row_number().over(W.partitionBy("request", "points", "range").orderBy("item")))
     out = ["request", "item", "points", F.col("place").cast("bigint").alias("place")]
     return few.select(*out).unionByName(big.select(*out))
 
@@ -106,6 +104,6 @@ def borda(rows: DataFrame, weights: dict[str, float], max_hot: int = MAX_HOT) ->
     """request, item, points, place (1 is best) of every candidate of candidates()."""
     sizes = rows.groupBy("request").agg(F.count(F.lit(1)).alias("n"))
     total = F.broadcast(sizes.agg(F.sum("n").alias("total")))
-    # at least 1,000 rows, or small tables would have nothing but hot requests; at most max_hot requests by definition
-    hot = F.broadcast(sizes.crossJoin(total).where((F.col("n") * F.lit(max_hot) > F.col("total")) & (F.col("n") > 1_000)).select("request"))
+    # at least LEAST_HOT rows, or small tables would have nothing but hot requests; at most max_hot requests by definition
+    hot = F.broadcast(sizes.crossJoin(total).where((F.col("n") * F.lit(max_hot) > F.col("total")) & (F.col("n") > LEAST_HOT)).select("request"))
     return _light(rows.join(hot, "request", "left_anti"), weights).unionByName(_heavy(rows.join(hot, "request", "left_semi"), weights))

@@ -35,14 +35,14 @@ WITH c AS (
     max(CASE WHEN popularity_present AND isfinite(popularity_raw_score) THEN popularity_raw_score END) AS popularity
   FROM hybrid_candidates WHERE request_id IS NOT NULL AND product_id IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, count(*) OVER q AS n,
-    rank() OVER (q ORDER BY content DESC NULLS LAST) + (count(*) OVER (PARTITION BY request_id, content) - 1) / 2.0 AS r1, count(content) OVER q AS m1,
-    rank() OVER (q ORDER BY cf DESC NULLS LAST) + (count(*) OVER (PARTITION BY request_id, cf) - 1) / 2.0 AS r2, count(cf) OVER q AS m2,
-    rank() OVER (q ORDER BY popularity DESC NULLS LAST) + (count(*) OVER (PARTITION BY request_id, popularity) - 1) / 2.0 AS r3, count(popularity) OVER q AS m3
+    rank() OVER (q ORDER BY content DESC NULLS LAST) + (count(*) OVER (PARTITION BY request_id, content) - 1) / 2.0 AS r1,
+    rank() OVER (q ORDER BY cf DESC NULLS LAST) + (count(*) OVER (PARTITION BY request_id, cf) - 1) / 2.0 AS r2,
+    rank() OVER (q ORDER BY popularity DESC NULLS LAST) + (count(*) OVER (PARTITION BY request_id, popularity) - 1) / 2.0 AS r3
   FROM c WINDOW q AS (PARTITION BY request_id)),
 p AS (SELECT request_id, product_id, round(
-    CASE WHEN content IS NULL THEN (n - 1) * 0.5::DOUBLE ELSE n - ((r1::DOUBLE - 0.5::DOUBLE) * n / m1 + 0.5::DOUBLE) END
-    + CASE WHEN cf IS NULL THEN (n - 1) * 0.5::DOUBLE ELSE n - ((r2::DOUBLE - 0.5::DOUBLE) * n / m2 + 0.5::DOUBLE) END
-    + CASE WHEN popularity IS NULL THEN (n - 1) * 0.5::DOUBLE ELSE n - ((r3::DOUBLE - 0.5::DOUBLE) * n / m3 + 0.5::DOUBLE) END, 9) AS points FROM r)
+    n - CASE WHEN content IS NULL THEN (n + 1) * 0.5::DOUBLE ELSE r1::DOUBLE END
+    + n - CASE WHEN cf IS NULL THEN (n + 1) * 0.5::DOUBLE ELSE r2::DOUBLE END
+    + n - CASE WHEN popularity IS NULL THEN (n + 1) * 0.5::DOUBLE ELSE r3::DOUBLE END, 9) AS points FROM r)
 SELECT request_id, product_id, points, row_number() OVER (PARTITION BY request_id ORDER BY points DESC, product_id) AS place FROM p
 """
 
