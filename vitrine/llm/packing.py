@@ -2,7 +2,7 @@
 
 Each partition keeps WINDOWS containers open. An item goes into the open container that it fills best; if none has room, the fullest is
 closed and a new one opened. What is still open at the ends of the partitions is merged: containers of FAN_IN partitions at a time by
-best fit in falling order, then what those leave. An item is split only if it alone exceeds the capacity: into full containers and a rest.
+best fit in falling order, then those that remain loose of FAN_IN such groups, and so on until one group is left. An item is split only if it alone exceeds the capacity: into full containers and a rest.
 """
 
 from __future__ import annotations
@@ -114,17 +114,32 @@ def pack(sizes: DataFrame, capacities: DataFrame, windows: int = WINDOWS) -> Dat
     placed = materialize(sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("n_tokens").cast("bigint").alias("n_tokens")).mapInPandas(fill, _ROWS), "placed")
     # as many rows as there are partitions times open windows
     left = placed.where("open").groupBy("pack_name", "capacity", "container_id", "task").agg(F.sum("n_tokens").alias("size"))
+    level = left.select("pack_name", "capacity", "container_id", F.col("task").cast("bigint").alias("part"), "size")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = best_fit_falling(list(zip(pdf["size"], pdf.container_id)), int(pdf.capacity.iloc[0]))
-        return pd.DataFrame({"pack_name": pdf.pack_name, "capacity": pdf.capacity, "container_id": pdf.container_id, "target": pdf.container_id.map(at), "size": pdf["size"]})
-
-    schema = "pack_name string, capacity bigint, container_id bigint, target bigint, size bigint"
-    once = left.groupBy("pack_name", "capacity", F.floor(F.col("task") / FAN_IN)).applyInPandas(merge, schema)
-    filled = once.groupBy("pack_name", "capacity", "target").agg(F.sum("size").alias("size"))
-    loose = filled.where(F.col("size") < F.col("capacity") * F.lit(FULL)).withColumnRenamed("target", "container_id")
-    twice = loose.groupBy("pack_name", "capacity").applyInPandas(merge, schema).select("pack_name", "capacity", F.col("container_id").alias("target"), F.col("target").alias("last"))
-    where = once.join(twice, ["pack_name", "capacity", "target"], "left").select("pack_name", "capacity", "container_id", F.coalesce("last", "target").alias("final"))
+        capacity = int(pdf.capacity.iloc[0])
+        at = best_fit_falling(list(zip(pdf["size"], pdf.container_id)), capacity)
+        target = pdf.container_id.map(at)
+        filled = pdf["size"].groupby(target.to_numpy()).sum().sort_values(kind="stable")
+        # the emptiest go on to the next level, as many as there are windows; the others are final
+        loose = set(filled[filled < capacity * FULL].index[:windows])
+        return pd.DataFrame({"pack_name": pdf.pack_name, "capacity": capacity, "container_id": pdf.container_id, "target": target, "part": pdf.part, "size": pdf["size"], "loose": [t in loose for t in target]})
+
+    # each level merges FAN_IN parts into one, until one is left; no task takes more than FAN_IN * windows containers
+    schema = "pack_name string, capacity bigint, container_id bigint, target bigint, part bigint, size bigint, loose boolean"
+    parts = (placed.agg(F.max("task")).first()[0] or 0) + 1
+    where = None
+    while where is None or parts > 1:
+        parts = -(-parts // FAN_IN)
+        grouped = level.withColumn("part", F.floor(F.col("part") / FAN_IN))
+        merged = materialize(grouped.groupBy("pack_name", "capacity", "part").applyInPandas(merge, schema), "merged")
+        step = merged.select("pack_name", "capacity", "container_id", "target")
+        if where is None:
+            where = step.withColumnRenamed("target", "final")
+        else:
+            moves = step.select("pack_name", "capacity", F.col("container_id").alias("final"), "target")
+            where = where.join(moves, ["pack_name", "capacity", "final"], "left").select("pack_name", "capacity", "container_id", F.coalesce("target", "final").alias("final"))
+        level = merged.where("loose").groupBy("pack_name", "capacity", F.col("target").alias("container_id"), "part").agg(F.sum("size").alias("size"))
     closed = placed.where("NOT open").select("pack_name", "container_id", "doc_id", "part", "n_tokens")
     moved = placed.where("open").join(where, ["pack_name", "capacity", "container_id"], "left")
     return closed.unionByName(moved.select("pack_name", F.coalesce("final", "container_id").alias("container_id"), "doc_id", "part", "n_tokens"))
