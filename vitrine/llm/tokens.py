@@ -10,6 +10,8 @@ import base64
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,10 @@ from pyspark.sql import types as T
 
 from vitrine.plans.storage import materialize
 
-#: Words that hold at least 1/MAX_HOT of all positions are joined by broadcast: at most so many words of at most HOT_LENGTH characters.
-MAX_HOT = 4_000
-HOT_LENGTH = 100
+#: Words that hold at least 1/MAX_HOT of all positions are looked up in a broadcast: at most so many words, of at most HOT_LENGTH characters.
+#: Longer ones take the way of all other words, spread over SALTS tasks each.
+MAX_HOT = 50_000
+HOT_LENGTH, SALTS = 100, 16
 #: Positions of a text that are gathered at a time.
 BLOCK = 4_096
 
@@ -53,8 +56,8 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
-def _occurrences(documents: DataFrame) -> DataFrame:
-    """rid (one per row), doc_id, pos, word. A text without words has one row with pos and word null.
+def _worded(documents: DataFrame) -> DataFrame:
+    """rid (one per row), doc_id, words: the texts split once and written. Null and empty texts have no words.
 
     Code points that the JVM's Unicode tables do not know may be letters in newer ones; texts with any are split by Python's tables.
     """
@@ -71,12 +74,12 @@ def _occurrences(documents: DataFrame) -> DataFrame:
     known = rows.where(~new).select("rid", "doc_id", split_words(F.col("text")).alias("words"))
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("words", T.ArrayType(T.StringType()))])
     other = rows.where(new).select("rid", "doc_id", "text").mapInPandas(split, schema)
-    return known.unionByName(other).select("rid", "doc_id", F.posexplode_outer("words").alias("pos", "word"))
+    return materialize(known.unionByName(other), "worded")
 
 
-def word_table(occurrences: DataFrame, path: str | None = None) -> DataFrame:
+def word_table(worded: DataFrame, path: str | None = None) -> DataFrame:
     """word, n (positions), ids of each distinct word, written once."""
-    ranks = _ranks(occurrences.sparkSession, path)
+    ranks = _ranks(worded.sparkSession, path)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
@@ -86,25 +89,58 @@ def word_table(occurrences: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"word": b.word, "n": b.n, "ids": [e.encode_ordinary(w) for w in b.word]})
 
-    counts = occurrences.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = worded.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return materialize(counts.mapInPandas(encode, "word string, n bigint, ids array<int>"), "words")
 
 
 def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array<int>) for every row of ``documents``: repeated and null doc_ids keep their rows."""
-    occ = _occurrences(documents)
-    words = word_table(occ, path)
-    total = words.agg(F.sum("n").alias("total"))
-    hot = words.crossJoin(F.broadcast(total)).where((F.col("n") * F.lit(MAX_HOT) >= F.col("total")) & (F.length("word") <= HOT_LENGTH)).select("word", "ids")
-    known = occ.join(F.broadcast(hot), "word", "left")
-    near = known.where(F.col("ids").isNotNull() | F.col("word").isNull())
-    far = known.where(F.col("ids").isNull() & F.col("word").isNotNull()).drop("ids").join(words.select("word", "ids"), "word")
-    both = near.unionByName(far).select("rid", "doc_id", F.floor(F.col("pos") / BLOCK).alias("block"), F.struct("pos", "ids").alias("at"), "pos")
-    # one shuffle by row serves both groupings; the first keeps what is sorted at a time small
-    rows = both.repartition("rid").groupBy("rid", "doc_id", "block").agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.col("at"))).alias("l"))
-    part = F.flatten(F.transform(F.array_sort("l"), lambda x: x["ids"]))
-    rows = rows.select("rid", "doc_id", F.struct("block", part.alias("ids")).alias("part")).groupBy("rid", "doc_id").agg(F.collect_list("part").alias("p"))
-    return rows.select("doc_id", F.flatten(F.transform(F.array_sort("p"), lambda x: x["ids"])).alias("ids"))
+    """doc_id, ids (array<int>) for every row of ``documents``: repeated and null doc_ids keep their rows.
+
+    A row's words become one array of ids in which the words that are not hot leave a gap, -1 for the first, -2 for the second distinct one
+    and so on. Only these words are joined with the word table, and their ids come back to fill the gaps of their rows.
+    """
+    spark = documents.sparkSession
+    worded = _worded(documents)
+    words = word_table(worded, path)
+    total = F.broadcast(words.agg(F.sum("n").alias("total")))
+    ranked = words.crossJoin(total).withColumn("often", F.col("n") * MAX_HOT >= F.col("total"))
+    hot = ranked.where(F.col("often") & (F.length("word") <= HOT_LENGTH)).select("word", "ids").toArrow()  # at most MAX_HOT rows
+    held = spark.sparkContext.broadcast((hot["word"].to_pylist(), hot["ids"].to_pylist()))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(held.value[0], pa.string())
+        ids = pa.array(held.value[1], pa.list_(pa.int32()))
+        for b in batches:
+            lists = b.column("words")
+            flat = lists.flatten()
+            at = pc.index_in(flat, known)
+            rows = lists.value_parent_indices() if hasattr(lists, "value_parent_indices") else pc.list_parent_indices(lists)
+            gap = pc.is_null(at)
+            # distinct words of the gaps per row, in order of appearance
+            gaps, slots = [[] for _ in range(len(b))], []
+            seen: dict[tuple[int, str], int] = {}
+            for r, w in zip(rows.filter(gap).to_pylist(), flat.filter(gap).to_pylist()):
+                k = seen.get((r, w))
+                if k is None:
+                    k = seen[r, w] = len(gaps[r])
+                    gaps[r].append(w)
+                slots.append([-1 - k])
+            taken = pc.replace_with_mask(pc.fill_null(at, 0), gap, pa.array(range(len(known), len(known) + len(slots)), pa.int32()))
+            pieces = pa.concat_arrays([ids, pa.array(slots, pa.list_(pa.int32()))]).take(taken)
+            # the words' lists joined into one list per row
+            ends = pieces.offsets.take(lists.offsets) if len(pieces) else lists.offsets
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.ListArray.from_arrays(ends, pieces.values), pa.array(gaps, pa.list_(pa.string()))], ["rid", "doc_id", "ids", "gaps"])
+
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", worded.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("gaps", T.ArrayType(T.StringType()))])
+    rows = materialize(worded.mapInArrow(place, schema), "placed")
+    salt = F.when(F.length("word") > HOT_LENGTH, F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt")
+    far = rows.select("rid", F.posexplode("gaps").alias("k", "word")).select("rid", "k", "word", salt)
+    rest = ranked.where(~F.col("often") | (F.length("word") > HOT_LENGTH)).select("word", "ids")
+    rest = rest.withColumn("salt", F.explode(F.when(F.length("word") > HOT_LENGTH, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    filled = far.join(rest, ["word", "salt"]).groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("found"))
+    whole = rows.where(F.size("gaps") == 0).select("doc_id", "ids")
+    ids = F.flatten(F.transform("ids", lambda i: F.when(i < 0, F.get("found", -i - 1)).otherwise(F.array(i))))
+    return whole.unionByName(rows.where(F.size("gaps") > 0).select("rid", "doc_id", "ids").join(filled, "rid").select("doc_id", ids.alias("ids")))
 
 
 def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
