@@ -101,7 +101,7 @@ def fit(sample: np.ndarray, lists: int, parts: int = PARTS, codes: int = CODES,
     c = _means(sample, lists, rounds, rng, True)
     residual = sample - c[nearest(sample, c)]
     d = sample.shape[1] // parts
-    books = [_means(np.ascontiguousarray(residual[:16_384, j * d : (j + 1) * d]), codes, rounds, rng, False) for j in range(parts)]
+    books = [_means(np.ascontiguousarray(residual[:, j * d : (j + 1) * d]), codes, rounds, rng, False) for j in range(parts)]
     return Codebook(c, np.stack(books))
 
 
