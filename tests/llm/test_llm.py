@@ -372,26 +372,61 @@ def statistics(spark, texts, window=tq.WINDOW):
     return {r.doc_id: tuple(r)[1:] for r in tq.text_statistics(docs, words, window).collect()}
 
 
-def test_windows_merge_to_the_whole(spark):
-    rng = random.Random(11)
-    alphabet = ["the ", "a", "b", " ", "\n", "\r\n", ".", "!", "é", "日", "'", "’", "x1", "of\n", "\n\n", "-"]
-    for _ in range(2000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40)))
-        strong = tq.sentence_words(COMMON)
-        whole = tq.state_of(text, COMMON, strong)
-        cuts = sorted({0, len(text), *(rng.randrange(len(text) + 1) for _ in range(3))})
-        parts = [tq.state_of(text[i:j], COMMON, strong) for i, j in zip(cuts, cuts[1:])]
-        if "\r\n" in text and any(text[c - 1 : c + 1] == "\r\n" for c in cuts[1:-1]):
-            continue  # the line break itself is cut
+def chunks_of(text, window):
+    import regex
+
+    return regex.findall(tq.chunk_pattern(window), text)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_chunks_merge_to_the_whole(seed):
+    """All fields, verdict included, of random texts of all kinds, cut into chunks and merged in any order."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["the", "of", "it", "gel", "cream", "a", "soap", "x1", "é", "12", "it's", "日本の", "Ünder", "qwrtz"])
+    run = lambda n: " ".join(word() for _ in range(n))
+    more = 0
+    for _ in range(60):
+        text = ""
+        for _ in range(rng.randrange(1, 9)):
+            text += rng.choice(["- ", "", "1. ", "Name: ", "<p class='x'>", "&amp; ", "a,b,", "| x | y", "same words here again\n" * 3])
+            text += run(rng.choice([3, 40, 200, 500])) + rng.choice([". ", "\n", "\r\n", "! ", " <br> ", "   ", " .... ", "</td>", "。", "\t", ", "])
+        whole = tq.state_of(text, COMMON, COMMON)
+        cut = chunks_of(text, rng.choice([1, 300, 700, 2000]))
+        assert "".join(cut) == text
+        parts = [tq.state_of(c, COMMON, COMMON, i == 0, i == len(cut) - 1) for i, c in enumerate(cut)]
+        more += len(parts) > 2
         left = parts[0]
         for p in parts[1:]:
-            left = tq.merge(left, p, COMMON)
+            left = tq.merge(left, p)
         right = parts[-1]
         for p in parts[-2::-1]:
-            right = tq.merge(p, right, COMMON)
-        assert left == right
-        assert left[0] == whole[0] and left[2:4] == whole[2:4] and tq.finish(left) == tq.finish(whole), (text, cuts)
-        assert (left[1], left[6]) == (whole[1], whole[6]), (text, cuts)
+            right = tq.merge(p, right)
+        assert left == right == whole
+        assert tq.finish(left) == tq.finish(whole) and tq.verdict(left) == tq.verdict(whole)
+    assert more > 10
+
+
+@pytest.mark.parametrize("window", [5_000, tq.WINDOW])
+def test_a_list_without_line_breaks_is_a_list_cut_or_not(spark, window):
+    text = "- " + " - ".join(f"{a} {b} {c}" for a in ("hand", "face", "body") for b in ("cream", "balm", "wash", "scrub") for c in ("lilac", "amber", "tonka", "quince")) * 100
+    assert len(text) > 79_889
+    assert statistics(spark, [text], window)[0] == statistics(spark, [text], 10**7)[0]
+    assert statistics(spark, [text], window)[0][-1] == "list"
+
+
+def test_prose_in_other_scripts(spark):
+    texts = [
+        "这款面霜很好用，味道也不重。我每天早上都会用一点，皮肤变得很柔软。", "Этот крем мне очень понравился, запах лёгкий и не навязчивый. Я пользуюсь им каждый день и довольна.", "この化粧水はとても使いやすいです。毎日使っています。",
+        "Αυτή η κρέμα είναι πολύ καλή και την χρησιμοποιώ κάθε μέρα στο πρόσωπο.", "Крем\nМыло\nДухи\nШампунь\nМаска", "化粧水\n乳液\n石鹸",
+    ]
+    assert [v[-1] for _, v in sorted(statistics(spark, texts).items())] == ["prose"] * 4 + ["list"] * 2
+
+
+def test_sentence_words_are_fitted(spark):
+    docs = spark.createDataFrame([(1, "it was in the box for me"), *((i, "gel for eyes\nbalm for feet") for i in (2, 3, 4)), (5, None), (None, "the the the")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, "prose"), (2, "list"), (3, "list"), (4, "table"), (5, "junk"), (9, None), (None, "list")], "doc_id bigint, label string")
+    assert tq.sentence_words(frozenset(["for", "the", "it", "a"]), docs, labels) == {"the", "it"}
+    assert tq.sentence_words(frozenset(["for", "a"])) == {"for"}
 
 
 def test_huge_texts_in_windows(spark):
@@ -413,7 +448,7 @@ def test_verdicts_agree_with_labels(spark):
     if not os.path.isdir(LARGER):
         pytest.skip("no test tables")
     read = lambda t: spark.read.parquet(f"{LARGER}/{t}.parquet")
-    v = tq.text_statistics(read("documents"), read("common_words")).join(read("doc_labels"), "doc_id").select("label", "verdict").collect()
+    v = tq.text_statistics(read("documents"), read("common_words"), labels=read("doc_labels")).join(read("doc_labels"), "doc_id").select("label", "verdict").collect()
     right = sum((r.label == "prose") == (r.verdict == "prose") for r in v if r.verdict)
     assert right / len(v) >= 0.9
 

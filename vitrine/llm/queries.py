@@ -102,13 +102,13 @@ def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 @LLM.query("p10_found")
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return tq.not_prose(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+    return tq.not_prose(table(spark, folder, "documents"), table(spark, folder, "common_words"), table(spark, folder, "doc_labels"))
 
 
 @LLM.query("p10_stats")
 def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics and the verdict of every document."""
-    return tq.text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+    return tq.text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"), labels=table(spark, folder, "doc_labels"))
 
 
 @LLM.query("p8_ids")
