@@ -66,38 +66,33 @@ class Segment:
     """What the judgement of a segment reads, so that two pieces of a segment join to the segment."""
 
     #: All of these add up.
-    SUMS = ("length", "size", "words", "letters", "short_words", "hits", "noise", "digits", "cjk", "kana", "stops", "latin", "vowels", "cells", "pipes", "squares", "leaders", "commas")
-    __slots__ = (*SUMS, "letters_seen", "bullet", "pair", "first_field", "last_field", "inner_field", "key", "width")
+    ADDED = ("size", "words", "letters", "hits")
+    SUMS = ("length", "short_words", "noise", "digits", "cjk", "kana", "stops", "latin", "vowels", "cells", "pipes", "squares", "leaders", "commas")
+    #: What is stored of a piece.
+    FACTS = (*SUMS, "letters_seen", "bullet", "pair", "first_field", "last_field", "inner_field", "key", "width")
+    __slots__ = (*FACTS, "text", "inside", "lower", "size", "words", "letters", "hits")
 
     def __init__(self, text: str, strong: frozenset[str], inside: bool = False) -> None:
-        """Of a whole segment or a piece of one, stripped where the segment ends; ``inside``: the piece does not start the segment."""
-        lower = text.lower()
-        words = [w.replace("’", "'") for w in _WORD.findall(lower)]
-        self.length, self.size = len(text), len("".join(text.split()))
-        self.words, self.letters = len(words), sum(map(len, words))
-        self.short_words = sum(1 for w in words if len(w) <= 3)
+        """Of a whole segment or a piece of one, stripped where the segment ends; ``inside``: the piece does not start the segment. What most
+        judgements do without is worked out when it is asked for."""
+        self.text, self.inside = text, inside
+        self.lower = text.lower()
+        words = _WORD.findall(self.lower)
+        if "’" in text:
+            words = [w.replace("’", "'") for w in words]
+        self.size = len("".join(text.split()))
+        self.words, self.letters = len(words), len("".join(words))
         self.hits = sum(map(strong.__contains__, words))
-        self.noise = len(_NOISE.findall(text))
-        self.digits = len(_DIGIT.findall(text))
-        plain = text.isascii()
-        self.cjk, self.kana, self.stops = (0, 0, 0) if plain else (len(_CJK.findall(text)), len(_KANA.findall(text)), len(_CJK_STOPS.findall(text)))
-        self.latin = len(_LATIN.findall(text))
-        self.vowels = sum(map(lower.count, "aeiouyäöüéèáíóú"))
-        self.cells = text.count("\x1f") + text.count("\t")
-        self.pipes, self.squares = text.count("|"), text.count("[")
-        self.leaders = len(_LEADER.findall("xx" + text if inside else text))
-        fields = [len(f) for f in text.split(",")]
-        self.commas, self.first_field, self.last_field = len(fields) - 1, fields[0], fields[-1]
-        self.inner_field = max(fields[1:-1], default=0)
-        self.letters_seen = "".join(sorted(set(lower))[:4])
-        self.bullet, self.pair = _BULLET.match(text) is not None, _PAIR.match(text) is not None
-        raw = text.encode("utf-8", "surrogatepass")
-        self.key, self.width = int.from_bytes(raw, "big") % _PRIME, len(raw)
+
+    def __getattr__(self, name: str):
+        value = _FACTS[name](self)
+        setattr(self, name, value)
+        return value
 
     def join(self, other: Segment) -> Segment:
         """The segment of this piece followed by the other; the pieces meet between words of plain text."""
         out = object.__new__(Segment)
-        for f in self.SUMS:
+        for f in (*self.ADDED, *self.SUMS):
             setattr(out, f, getattr(self, f) + getattr(other, f))
         seen = set(self.letters_seen) | set(other.letters_seen)
         out.letters_seen = "".join(sorted(seen)[:4])
@@ -114,14 +109,14 @@ class Segment:
         return out
 
     def pack(self) -> bytes:
-        return repr([getattr(self, f) for f in self.__slots__]).encode()
+        return repr([getattr(self, f) for f in (*self.ADDED, *self.FACTS)]).encode()
 
     @classmethod
     def unpack(cls, raw: bytes) -> Segment:
         import ast
 
         out = object.__new__(cls)
-        for f, v in zip(cls.__slots__, ast.literal_eval(raw.decode())):
+        for f, v in zip((*cls.ADDED, *cls.FACTS), ast.literal_eval(raw.decode())):
             setattr(out, f, v)
         return out
 
@@ -160,9 +155,43 @@ class Segment:
         return "junk" if self.few_vowels() else "list"
 
 
+def _fields(s: Segment) -> list[int]:
+    return [len(f) for f in s.text.split(",")]
+
+
+def _unless_ascii(pattern: re.Pattern):
+    return lambda s: 0 if s.text.isascii() else len(pattern.findall(s.text))
+
+
+_FACTS = {
+    "length": lambda s: len(s.text),
+    "short_words": lambda s: sum(1 for w in _WORD.findall(s.lower) if len(w) <= 3),
+    "noise": lambda s: len(_NOISE.findall(s.text)),
+    "digits": lambda s: len(_DIGIT.findall(s.text)),
+    "cjk": _unless_ascii(_CJK),
+    "kana": _unless_ascii(_KANA),
+    "stops": _unless_ascii(_CJK_STOPS),
+    "latin": lambda s: len(_LATIN.findall(s.text)),
+    "vowels": lambda s: sum(map(s.lower.count, "aeiouyäöüéèáíóú")),
+    "cells": lambda s: s.text.count("\x1f") + s.text.count("\t"),
+    "pipes": lambda s: s.text.count("|"),
+    "squares": lambda s: s.text.count("["),
+    "leaders": lambda s: len(_LEADER.findall("xx" + s.text if s.inside else s.text)),
+    "commas": lambda s: s.text.count(","),
+    "first_field": lambda s: _fields(s)[0],
+    "last_field": lambda s: _fields(s)[-1],
+    "inner_field": lambda s: max(_fields(s)[1:-1], default=0),
+    "letters_seen": lambda s: "".join(sorted(set(s.lower))[:4]),
+    "bullet": lambda s: _BULLET.match(s.text) is not None,
+    "pair": lambda s: _PAIR.match(s.text) is not None,
+    "key": lambda s: int.from_bytes(s.text.encode("utf-8", "surrogatepass"), "big") % _PRIME,
+    "width": lambda s: len(s.text.encode("utf-8", "surrogatepass")),
+}
+
+
 def _plain(run: str) -> str:
-    """The word in a run of letters and apostrophes, as common words are written; empty if it has no letter."""
-    return run.strip("'’").lower().replace("’", "'")
+    """The word in a run of lower-case letters and apostrophes, as common words are written; empty if it has no letter."""
+    return run.strip("'’").replace("’", "'") if "'" in run or "’" in run else run
 
 
 def segments(text: str, starts: bool = True, ends: bool = True) -> list[str]:
@@ -194,11 +223,11 @@ def _same(a: str | None, b: str | None) -> int:
 
 def state_of(text: str, common: frozenset[str], strong: frozenset[str], starts: bool = True, ends: bool = True) -> tuple:
     """The mergeable state of one chunk, in the order of STATE; ``starts`` and ``ends`` tell whether the text starts and ends with it."""
-    words = [w for w in map(_plain, _RUN.findall(text)) if w]
+    words = [w for w in map(_plain, _RUN.findall(text.lower())) if w]
     lines = text.replace("\r\n", "\n").split("\n")
     last = [line.rstrip()[-1:] for line in lines]
     weight = {"prose": 0, "list": 0, "table": 0, "junk": 0, "": 0}
-    repeat, short, first_key, last_key = 0, 0, None, None
+    repeat, short, first_key, before = 0, 0, None, None
     pieces: list[bytes | None] = [None, None, None]
     parts = segments(text, starts, ends)
     for i, part in enumerate(parts):
@@ -214,14 +243,14 @@ def state_of(text: str, common: frozenset[str], strong: frozenset[str], starts:
         kind = s.kind()
         weight[kind] += s.size
         short += kind == ""
-        key = _key(s)
-        repeat += _same(last_key, key)
-        first_key, last_key = first_key or key, key
+        if before is not None and part == before.text and s.size > 8:
+            repeat += s.size
+        first_key, before = first_key or _key(s), s
     closed = last[1:-1]
     return (
         len(text), len(words), sum(len(w) - w.count("'") for w in words), len(_SYMBOL.findall(text)), sum(1 for e in closed if e), sum(1 for e in closed if e in TERMINAL and e), sum(map(common.__contains__, words)),
         weight["prose"], weight["list"], weight["table"], weight["junk"], repeat, weight[""], short,
-        last[0], last[-1], len(lines) > 1, *pieces, first_key, last_key,
+        last[0], last[-1], len(lines) > 1, *pieces, first_key, before and _key(before),
     )
 
 
