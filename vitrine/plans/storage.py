@@ -32,17 +32,29 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a materialized table that nothing reads any more, as an iteration leaves one behind in every round."""
+    for path in df.inputFiles():
+        folder = path.rsplit("/", 1)[0]
+        if "/vitrine-" in folder:
+            _delete(df.sparkSession, folder)
+            return
+
+
 def forget_later(spark: SparkSession, path: str) -> None:
     """Removes the path when the driver's Python ends."""
     _written.append((spark, path))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001, S110 - the session may be gone already
             pass
 
