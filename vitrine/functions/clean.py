@@ -42,8 +42,10 @@ def json_map(c: Column) -> Column:
 
 
 def parse_price(c: Column) -> Column:
-    """A price text without $ and thousands commas as double; null if it is no number."""
-    return F.regexp_replace(strip(c.cast("string")), r"[$,]", "").try_cast("double")
+    """A price text without $ and thousands commas as double; null if it is no number. Texts for nothing, among them "nan", have none, and
+    what a cast takes besides ("5d", "0x1p3") is no number here."""
+    text = F.trim(F.regexp_replace(clean_string(c.cast("string")), r"[$,]", ""))
+    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
 
 
 def parse_rating(c: Column) -> Column:

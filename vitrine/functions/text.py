@@ -18,13 +18,24 @@ QUIET_WORDS = (
 ).split()
 
 
+#: Letters that full case folding writes other than lower case does, found from Python's Unicode tables: sharp s, ligatures, final sigma.
+FOLDS = {chr(i): chr(i).casefold() for i in range(0x80, 0x1E943) if chr(i).casefold() != chr(i).lower()}
+
+
+def casefold(c: Column) -> Column:
+    """Lower case in which sharp s, ligatures and the like are written out."""
+    table = F.create_map(*[F.lit(x) for pair in FOLDS.items() for x in pair])
+    written = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), F.lower(x))), "")
+    return F.when(c.rlike("[" + "".join(FOLDS) + "]"), written).otherwise(F.lower(c))
+
+
 def tokens(c: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits; null gives the empty array."""
-    return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit("[0-9a-z]+"), F.lit(0)), F.array().cast("array<string>"))
+    """Case-folded runs of ASCII letters and digits; null gives the empty array."""
+    return F.coalesce(F.regexp_extract_all(casefold(c), F.lit("[0-9a-z]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def phrase(c: Column) -> Column:
-    return collapse(F.lower(c))
+    return collapse(casefold(c))
 
 
 def stem(token: Column) -> Column:

@@ -12,6 +12,8 @@ from vitrine.functions.text import terms
 
 #: Weights of the field classes: A title and brand, B description, C category and subcategory.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
+#: Beyond the number of terms that a text can have.
+FIELD = 1 << 32
 FIELDS = {"title": "A", "brand": "A", "description": "B", "category": "C", "subcategory": "C"}
 
 
@@ -39,8 +41,9 @@ def match_all(queries: DataFrame, index: DataFrame, query: str, item: str = "pro
 
 def cover_density(queries: DataFrame, index: DataFrame, query: str, item: str = "product_id") -> DataFrame:
     """query, item, score: the sum over minimal covers (spans that hold all query terms and no smaller such span) of the inverse of their
-    length (Clarke, Cormack and Tudhope 1999), for items that hold all terms. Positions of different fields lie 1,000 apart."""
-    flat = index.groupBy("term", item).agg(F.flatten(F.collect_list(F.transform("positions", lambda p: p["f"] * 1000 + p["pos"]))).alias("at"))
+    length (Clarke, Cormack and Tudhope 1999), for items that hold all terms. Positions of different fields lie further
+    apart than any field is long."""
+    flat = index.groupBy("term", item).agg(F.flatten(F.collect_list(F.transform("positions", lambda p: p["f"].cast("bigint") * FIELD + p["pos"]))).alias("at"))
     hits = queries.join(flat, "term").groupBy(query, item, "n_terms").agg(F.collect_list("at").alias("at"), F.count(F.lit(1)).alias("n")).where("n = n_terms").select(query, item, "at")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,9 @@ from vitrine.operators import ranking as rk
 from vitrine.operators import vectors as ve
 from vitrine.operators.numbering import dense_ids
 
+#: Parts over which the users that want one place are spread.
+SALTS = 64
+
 
 def profiles(history: DataFrame, vectors: DataFrame, user: str = "user_id", item: str = "product_id") -> DataFrame:
     """user, v: the unit mean of the vectors of a user's distinct items; users without any have no row."""
@@ -41,4 +44,7 @@ def popular_unseen(users: DataFrame, seen: DataFrame, places: DataFrame, k: int,
     near = u.select(user, F.transform(within, lambda x: x["p"]).alias("_s"))
     wanted = F.slice(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.size("_s").cast("bigint") + k), F.col("_s")), 1, k)
     rows = near.select(user, F.posexplode(wanted).alias("_i", "place"))
-    return rows.join(places, "place").select(user, item, "n", (F.col("_i") + 1).cast("bigint").alias("rank"))
+    # a place is wanted by nearly every user, so the places go out by salt and no task holds all users of one
+    salted = rows.withColumn("_t", F.pmod(F.xxhash64(user), F.lit(SALTS)).cast("int"))
+    top = places.where(F.col("place") <= k + F.lit(near.agg(F.max(F.size("_s"))).first()[0] or 0)).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(top, ["place", "_t"]).select(user, item, "n", (F.col("_i") + 1).cast("bigint").alias("rank"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,20 +58,21 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, query: str = "quer
 
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({query: [], item: [], "score": [], "_x": []})
+            return a[[query]].iloc[:0].assign(**{item: b[item].iloc[:0].to_numpy(object), "score": np.zeros(0), "_x": np.zeros(0, np.int32)})
         x, y = np.stack(a["_v"].to_numpy()).astype(np.float64), np.stack(b["_v"].to_numpy()).astype(np.float64)
         ids, qs, ex = b[item].to_numpy(), a[query].to_numpy(), a["_x"].to_numpy()
+        # rows that keep about as many come together, so that one partition serves all of them
+        order = np.argsort(ex, kind="stable")
         which, where, score = [], [], []
         for lo in range(0, len(x), 512):
-            s = x[lo : lo + 512] @ y.T
-            keep = np.minimum(k + ex[lo : lo + 512], len(ids))
-            for r in range(len(s)):
-                m = int(keep[r])
-                least = np.partition(s[r], len(ids) - m)[len(ids) - m] if m < len(ids) else -np.inf
-                at = np.nonzero(s[r] >= least - 1e-9)[0]
-                which.append(np.full(len(at), lo + r))
-                where.append(at)
-                score.append(s[r][at])
+            rows = order[lo : lo + 512]
+            s = x[rows] @ y.T
+            m = min(k + int(ex[rows].max()), len(ids))
+            least = np.partition(s, len(ids) - m, axis=1)[:, len(ids) - m] if m < len(ids) else np.full(len(s), -np.inf)
+            r, at = np.nonzero(s >= least[:, None] - 1e-9)
+            which.append(rows[r])
+            where.append(at)
+            score.append(s[r, at])
         which = np.concatenate(which)
         return pd.DataFrame({query: qs[which], item: ids[np.concatenate(where)], "score": np.concatenate(score), "_x": ex[which]})
 
@@ -79,6 +82,77 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, query: str = "quer
     return best.where(F.col("rank") <= k + F.col("_x")).drop("_x")
 
 
+#: Vectors that centroids are fitted on, at most; centroids, at most; entries of a list that one task takes.
+SAMPLE, LISTS, PART = 50_000, 4_096, 32_768
+
+
+def centroids(sample: np.ndarray, n: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
+    """n unit centroids of unit vectors by spherical k-means from random rows; a centroid without members keeps its place."""
+    rng = np.random.default_rng(seed)
+    c = sample[rng.choice(len(sample), min(n, len(sample)), replace=False)].copy()
+    for _ in range(rounds):
+        near = np.concatenate([(sample[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(sample), 4096)])
+        for d in range(c.shape[1]):
+            total = np.bincount(near, sample[:, d], len(c))
+            c[:, d] = np.where(np.bincount(near, minlength=len(c)) > 0, total, c[:, d])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    return c
+
+
+def ivf_top_k(queries: DataFrame, items: DataFrame, k: int, share: float = 0.12, query: str = "query_id", item: str = "product_id", vector: str = "v") -> DataFrame:
+    """query, item, score, rank of the k best items in the lists nearest to each query: an inverted file of unit vectors.
+
+    Centroids, twice the root of the number of items and at most LISTS, are fitted on at most SAMPLE items; every item is in the list of its
+    nearest centroid. A query looks into the nearest ``share`` of the lists. A query goes only to lists that it looks into, an item only to
+    its own; a list of more than PART items is cut into parts by hash, and queries go to each. Empty queries or items give no rows.
+    """
+    items = materialize(items.select(item, vector), "items")
+    n = items.count()
+    drawn = items.where(F.pmod(F.xxhash64(item), F.lit(1 << 20)) < int(min(1.0, 1.3 * SAMPLE / max(n, 1)) * (1 << 20)) + 1).select(vector).limit(SAMPLE).toPandas()[vector]
+    if not len(drawn):
+        drawn = items.select(vector).limit(1).toPandas()[vector]
+    types = [T.StructField(query, queries.schema[query].dataType), T.StructField(item, items.schema[item].dataType), T.StructField("score", T.DoubleType())]
+    if not len(drawn):
+        return items.sparkSession.createDataFrame([], T.StructType([*types, T.StructField("rank", T.LongType())]))
+    c = items.sparkSession.sparkContext.broadcast(centroids(np.stack(drawn.to_numpy()).astype(np.float64), max(1, min(LISTS, int(2 * n**0.5)))))
+    probes = max(1, round(share * len(c.value)))
+
+    def to_lists(key: str, many: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    near = np.stack(b[vector].to_numpy()).astype(np.float64) @ c.value.T
+                    at = np.argpartition(-near, many - 1, axis=1)[:, :many] if many < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(b), 1))
+                    yield pd.DataFrame({key: pd.Series(b[key].tolist(), dtype=object), vector: b[vector].tolist(), "_l": at.astype(np.int32).tolist()})
+
+        return run
+
+    listed = lambda df, key, many: df.select(key, vector).mapInPandas(to_lists(key, many), T.StructType([df.schema[key], T.StructField(vector, T.ArrayType(T.DoubleType())), T.StructField("_l", T.ArrayType(T.IntegerType()))])).select(key, vector, F.explode("_l").alias("_l"))
+    as_double = lambda df: df.withColumn(vector, F.col(vector).cast("array<double>"))
+    i = materialize(listed(as_double(items), item, 1), "lists")
+    parts = i.groupBy("_l").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_n"))  # at most LISTS rows
+    i = i.join(F.broadcast(parts), "_l").withColumn("_p", F.pmod(F.xxhash64(item), F.col("_n")).cast("int")).drop("_n")
+    q = listed(as_double(queries), query, probes).join(F.broadcast(parts), "_l").withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+
+    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return a[[query]].iloc[:0].assign(**{item: b[item].iloc[:0].to_numpy(object), "score": np.zeros(0)})
+        x, y = np.stack(a[vector].to_numpy()), np.stack(b[vector].to_numpy())
+        which, where, score = [], [], []
+        for lo in range(0, len(x), 512):
+            s = x[lo : lo + 512] @ y.T
+            least = np.partition(s, len(y) - k, axis=1)[:, len(y) - k] if k < len(y) else np.full(len(s), -np.inf)
+            r, at = np.nonzero(s >= least[:, None] - 1e-9)
+            which.append(lo + r)
+            where.append(at)
+            score.append(s[r, at])
+        left, right = a[query].to_numpy(object)[np.concatenate(which)], b[item].to_numpy(object)[np.concatenate(where)]
+        return pd.DataFrame({query: pd.Series(left, dtype=object), item: pd.Series(right, dtype=object), "score": np.concatenate(score)})
+
+    found = q.groupBy("_l", "_p").cogroup(i.groupBy("_l", "_p")).applyInPandas(multiply, T.StructType(types))
+    return ranked(found.withColumn("score", F.round("score", 9)), [query], "score", item).where(F.col("rank") <= k)
+
+
 def planes(n: int, dim: int, seed: int = 11) -> list[list[float]]:
     """n fixed random hyperplanes through the origin."""
     rng = np.random.default_rng(seed)

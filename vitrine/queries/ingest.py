@@ -29,9 +29,11 @@ def collapse_sql(c: str) -> str:
     return strip_sql(f"regexp_replace({c}, '{S}+', ' ', 'g')")
 
 
-@CORE.query("scan_parquet_project", "SELECT interaction_id, user_id, event_value FROM interactions WHERE event_type = 'purchase'")
+@CORE.query("scan_parquet_project", "SELECT interaction_id, user_id, CASE WHEN isnan(event_value) THEN NULL ELSE event_value END AS event_value, coalesce(isnan(event_value), false) AS is_nan FROM interactions WHERE event_type = 'purchase'")
 def scan_parquet_project(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "interactions").where(F.col("event_type") == "purchase").select("interaction_id", "user_id", "event_value")
+    value = F.col("event_value")
+    rows = table(spark, folder, "interactions").where(F.col("event_type") == "purchase")
+    return rows.select("interaction_id", "user_id", F.when(~F.isnan(value), value).alias("event_value"), F.coalesce(F.isnan(value), F.lit(False)).alias("is_nan"))
 
 
 @CORE.query("scan_json", "SELECT product_id, title FROM products")
@@ -56,11 +58,12 @@ def paged_scan(spark: SparkSession, folder: str) -> DataFrame:
 _FP = "sha256(concat_ws(chr(10), product_id, coalesce(title, ''), coalesce(description, ''), coalesce(category, ''), coalesce(subcategory, ''), coalesce(brand, '')))"
 
 
-@CORE.query("catalog_fingerprint", f"SELECT count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT substr(product_id, 1, 3) AS b, sha256(string_agg({_FP}, '' ORDER BY {_FP})) AS h, count(*) AS n FROM products GROUP BY 1), (SELECT count(*) AS n FROM products) t GROUP BY t.n".replace("SELECT count(*) AS n, sha256", "SELECT t.n AS n, sha256"))
+# rows are digested, then buckets of them by the first digits of their digests, then the buckets
+@CORE.query("catalog_fingerprint", f"WITH r AS (SELECT {_FP} AS h FROM products), b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS g, count(*) AS n FROM r GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(g, '' ORDER BY g)) AS fingerprint FROM b")
 def catalog_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    """A digest of the catalogue's text fields that does not depend on row order: rows are digested, then groups of them, then the groups."""
+    """A digest of the catalogue's text fields that does not depend on row order: rows are digested, then 4,096 buckets of them by their digests, then the buckets."""
     fields = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "description", "category", "subcategory", "brand")]
-    rows = table(spark, folder, "products").select(F.substring("product_id", 1, 3).alias("b"), F.sha2(F.concat_ws("\n", "product_id", *fields), 256).alias("h"))
+    rows = table(spark, folder, "products").select(F.sha2(F.concat_ws("\n", "product_id", *fields), 256).alias("h")).withColumn("b", F.substring("h", 1, 3))
     digest = lambda: F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
     groups = rows.groupBy("b").agg(digest().alias("h"), F.count(F.lit(1)).alias("n"))
     return groups.agg(F.sum("n").alias("n"), digest().alias("fingerprint"))

@@ -117,20 +117,37 @@ def hybrid_recs(spark, folder):
     return fu.weighted(ch, "user_id", "product_id", REC_WEIGHTS).where("rank <= 10").select("user_id", "product_id", "rank", "score")
 
 
+def _indexed(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs with their indices u and i, users, items)."""
+    from vitrine.operators.numbering import dense_ids
+
+    p = pairs(spark, folder).where("product_id IS NOT NULL AND user_id IS NOT NULL")
+    u, i = dense_ids(p.select("user_id").distinct(), "user_id", "u"), dense_ids(p.select("product_id").distinct(), "product_id", "i")
+    return materialize(p.join(u, "user_id").join(i, "product_id"), "indexed"), u, i
+
+
 @CORE.query("cf_train_als")
 def cf_train_als(spark, folder):
     """Implicit ALS on the distinct pairs: the ten best items of each user as (user, item) indices with scores."""
     from pyspark.ml.recommendation import ALS
 
-    from vitrine.operators.numbering import dense_ids
-
-    p = pairs(spark, folder).where("product_id IS NOT NULL AND user_id IS NOT NULL")
-    u, i = dense_ids(p.select("user_id").distinct(), "user_id", "u"), dense_ids(p.select("product_id").distinct(), "product_id", "i")
-    x = materialize(p.join(u, "user_id").join(i, "product_id").select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), F.lit(1.0).alias("r")), "als")
+    p, _, _ = _indexed(spark, folder)
+    x = p.select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), F.lit(1.0).alias("r"))
     model = ALS(rank=16, maxIter=4, regParam=0.05, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="r", seed=5).fit(x)
     return model.recommendForAllUsers(10).select(F.col("u").cast("bigint").alias("u"), F.explode("recommendations").alias("e")).select("u", F.col("e.i").cast("bigint").alias("i"), F.col("e.rating").cast("double").alias("score"))
 
 
+@CORE.query("cf_train_bpr")
+def cf_train_bpr(spark, folder):
+    """Pairwise-ranking factors of the distinct pairs: the ten best unseen items of each user."""
+    from vitrine.operators import bpr
+
+    p, u, i = _indexed(spark, folder)
+    f = bpr.train(p.select("u", "i"), dim=32, epochs=6, rate=0.02)
+    names = lambda factors, ids, k, name: factors.join(ids.select(F.col(k).alias("id"), name), "id").select(name, "v")
+    return rec.vector_recs(names(f.users, u, "u", "user_id"), names(f.items, i, "i", "product_id"), pairs(spark, folder), 10)
+
+
 @CORE.query("negative_sample")
 def negative_sample(spark, folder):
     """One unseen item per train pair, by hash."""
@@ -203,7 +220,9 @@ def split_checksum(spark, folder):
     s = hist.leave_last(events(spark, folder)).where("product_id IS NOT NULL")
     line = F.concat_ws("\t", "user_id", "product_id", F.concat("split", F.lit("\n")))
     digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
-    g = s.groupBy("user_id").agg(digest(line).alias("h"))
+    # ordered by the id and not by the line, or an id that is another with a tab would change the order
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("product_id", line.alias("line")))), lambda x: x["line"])
+    g = s.groupBy("user_id").agg(F.sha2(F.array_join(lines, ""), 256).alias("h"))
     b = g.groupBy(F.substring(F.sha2("user_id", 256), 1, 2).alias("b")).agg(digest("h").alias("h"), F.count(F.lit(1)).alias("n"))
     return b.agg(F.sum("n").alias("n_users"), digest("h").alias("checksum"))
 

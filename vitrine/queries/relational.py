@@ -324,7 +324,8 @@ def overlap_stats(spark, folder):
 def pair_checksum(spark, folder):
     """A checksum of the distinct pairs, digested per user, then per 256 groups of users, then once: no task holds all pairs."""
     line = F.concat("user_id", F.lit("\t"), "product_id", F.lit("\n"))
-    g = pairs(spark, folder).groupBy("user_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("product_id", line.alias("line")))), lambda x: x["line"])
+    g = pairs(spark, folder).groupBy("user_id").agg(F.sha2(F.array_join(lines, ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
     digest = lambda: F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
     b = g.groupBy(F.substring(F.sha2("user_id", 256), 1, 2).alias("b")).agg(digest().alias("h"), F.sum("n").alias("n"))
     return b.agg(F.sum("n").alias("n"), digest().alias("checksum"))

@@ -25,8 +25,16 @@ _QUIET = "(" + ", ".join(f"'{w}'" for w in tx.QUIET_WORDS) + ")"
 _STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
 
 
+def casefold_sql(c: str) -> str:
+    """Lower case with the expansions that yield ASCII letters."""
+    out = f"lower({c})"
+    for letter, several in (("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+        out = f"replace({out}, '{letter}', '{several}')"
+    return out
+
+
 def tokens_sql(c: str) -> str:
-    return f"coalesce(regexp_extract_all(lower({c}), '[0-9a-z]+'), [])"
+    return f"coalesce(regexp_extract_all({casefold_sql(c)}, '[0-9a-z]+'), [])"
 
 
 def stem_sql(t: str) -> str:
@@ -57,7 +65,7 @@ def tokenize(spark, folder):
     return table(spark, folder, "products").select("product_id", tx.tokens(F.col("title")).alias("tokens"))
 
 
-@CORE.query("normalize_phrase", f"SELECT search_event_id, {collapse_sql('lower(query_text)')} AS phrase FROM search_events")
+@CORE.query("normalize_phrase", f"SELECT search_event_id, {collapse_sql(casefold_sql('query_text'))} AS phrase FROM search_events")
 def normalize_phrase(spark, folder):
     return table(spark, folder, "search_events").select("search_event_id", tx.phrase(F.col("query_text")).alias("phrase"))
 
@@ -294,6 +302,22 @@ def ann_probed_recall(spark, folder):
     return d.select("query_id", F.round("recall", 6).alias("recall"))
 
 
+def ivf_ranked(spark, folder, k: int = 10) -> DataFrame:
+    return ve.ivf_top_k(query_set(spark, folder).select("query_id", "v"), unit_vectors(spark, folder).select("product_id", "v"), k)
+
+
+@CORE.query("knn_ivf")
+def knn_ivf(spark, folder):
+    """The ten nearest items of each query by an inverted file; its recall is ann_ivf_recall."""
+    return ivf_ranked(spark, folder).select("query_id", "product_id", "rank")
+
+
+@CORE.query("ann_ivf_recall")
+def ann_ivf_recall(spark, folder):
+    d = ve.recall(ivf_ranked(spark, folder), semantic_ranked(spark, folder, 10), 10)
+    return d.select("query_id", F.round("recall", 6).alias("recall"))
+
+
 @CORE.query("encode_hash")
 def encode_hash(spark, folder):
     """Titles encoded by the hashing encoder."""
