@@ -4,8 +4,8 @@ tables and exact reranking of all that the error of the codes leaves open.
 Centroids and codebooks are fitted on a sample of at most SAMPLE vectors; every valid vector is indexed and every valid vector is a query.
 Vectors of one direction are one entry of the index; of their products at most the k + 1 first can be in anyone's k nearest, so a hot
 group of copies adds no more than that. Lists are gathered to shards of about SHARD entries (a longer list is split by hash over several
-shards) and queries to blocks of about BLOCK, and each task searches one shard for one block. Nothing whose size grows with the data is
-broadcast or brought to the driver; what is, is bounded by LISTS and SAMPLE.
+shards). A shard meets the queries that ask it in batches of about BLOCK, and each task searches one shard for one batch. Nothing whose
+size grows with the data is broadcast or brought to the driver; what is, is bounded by LISTS and SAMPLE, or a number per shard.
 """
 
 from __future__ import annotations
@@ -246,47 +246,69 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
                 shard, room = shard + 1, SHARD
             first[i], room = shard, room - s
     placing = spark.sparkContext.broadcast((first, split))
-    blocks = max(1, -(-n // BLOCK))
     filled = np.nonzero(sizes)[0]
+    shards = int((first + split).max())
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def asked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nearest lists, queries x shards: whether a shard is asked for what lies beyond them) of unit vectors."""
         first, split = placing.value
         c = held.value.centroids
+        sim = x @ c.T
+        near = np.argpartition(-sim, probes - 1, axis=1)[:, :probes] if probes < n_lists else np.tile(np.arange(n_lists), (len(x), 1))
+        # shards of further lists are asked too; which lists these are is found again there
+        meets = np.zeros((len(x), shards), bool)
+        for lo in range(0, len(x), 1024):
+            may = allowed(x[lo : lo + 1024], c, filled, max(SURE, least))
+            for i, l in enumerate(filled):  # noqa: E741
+                meets[lo : lo + 1024, first[l] : first[l] + split[l]] |= may[:, i : i + 1]
+        return near, meets
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, split = placing.value
+        total = np.zeros(shards, np.int64)
+        for b in batches:
+            near, meets = asked(np.frombuffer(b"".join(b.vec), np.float32).reshape(-1, dim))
+            for i, lists in enumerate(near):
+                for l in lists:  # noqa: E741
+                    meets[i, first[l] : first[l] + split[l]] = True
+            total += meets.sum(0)
+        yield pd.DataFrame({"shard": np.arange(shards, dtype=np.int32), "n": total})
+
+    # a shard meets its queries in batches of about BLOCK: it is sent as often as its own queries need it, and to no others
+    batches_of = np.ones(shards, np.int64)
+    for row in indexed.select("vec").mapInPandas(count, "shard int, n bigint").groupBy("shard").agg(F.sum("n")).collect():  # as many rows as shards
+        batches_of[row[0]] = max(1, -(-row[1] // BLOCK))
+    taking = spark.sparkContext.broadcast(batches_of)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, split = placing.value
         for b in batches:
-            x = np.frombuffer(b"".join(b.vec), np.float32).reshape(-1, dim)
-            sim = x @ c.T
-            near = np.argpartition(-sim, probes - 1, axis=1)[:, :probes] if probes < n_lists else np.tile(np.arange(n_lists), (len(x), 1))
-            # shards of further lists are asked too; which lists these are is found again there
-            meets = np.zeros((len(x), int((first + split).max())), bool)
-            for lo in range(0, len(x), 1024):
-                may = allowed(x[lo : lo + 1024], c, filled, max(SURE, least))
-                for i, l in enumerate(filled):  # noqa: E741
-                    meets[lo : lo + 1024, first[l] : first[l] + split[l]] |= may[:, i : i + 1]
+            near, meets = asked(np.frombuffer(b"".join(b.vec), np.float32).reshape(-1, dim))
             out = []
-            for cid, vec, block, lists, asked in zip(b.cid, b.vec, b.block, near, meets):
-                to: dict[int, list[int]] = {int(s): [] for s in np.nonzero(asked)[0]}
+            for cid, vec, part, lists, further in zip(b.cid, b.vec, b.part, near, meets):
+                to: dict[int, list[int]] = {int(s): [] for s in np.nonzero(further)[0]}
                 for l in lists:  # noqa: E741
                     for s in range(first[l], first[l] + split[l]):
                         to.setdefault(int(s), []).append(int(l))
-                out += [(s, block, cid, vec, ls) for s, ls in to.items()]
+                out += [(s, part % taking.value[s], cid, vec, ls) for s, ls in to.items()]
             yield pd.DataFrame(out, columns=["shard", "block", "qid", "vec", "lists"])
 
-    block = F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int")
-    queries = indexed.select("cid", "vec", block.alias("block")).mapInPandas(route, "shard int, block int, qid string, vec binary, lists array<int>")
+    drawn_part = lambda name: F.pmod(F.xxhash64("cid", F.lit(name)), F.lit(1 << 30)).alias("part")
+    queries = indexed.select("cid", "vec", drawn_part("query")).mapInPandas(route, "shard int, block int, qid string, vec binary, lists array<int>")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, split = placing.value
         for b in batches:
             at = b["list"].to_numpy()
-            yield b.assign(shard=(first[at] + b.part.to_numpy() % split[at]).astype("int32")).drop(columns="part")
+            shard = first[at] + b.part.to_numpy() % split[at]
+            yield b.assign(shard=shard.astype("int32"), n=taking.value[shard].astype("int32")).drop(columns="part")
 
-    part = F.pmod(F.xxhash64("cid", F.lit("part")), F.lit(1 << 30)).alias("part")
-    placed = indexed.select("cid", "vec", "list", "code", part).mapInPandas(place, "cid string, vec binary, list int, code binary, shard int")
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = indexed.select("cid", "vec", "list", "code", drawn_part("part")).mapInPandas(place, "cid string, vec binary, list int, code binary, shard int, n int")
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"cid": [], "other": [], "cosine": []})
+            return pd.DataFrame({"cid": right.qid.iloc[:0].to_numpy(object), "other": left.cid.iloc[:0].to_numpy(object), "cosine": np.zeros(0)})
         left = left.sort_values("cid", kind="stable")
         vec = np.frombuffer(b"".join(left.vec), np.float32).reshape(-1, dim)
         codes = np.frombuffer(b"".join(left.code), np.uint8).reshape(len(left), -1)
