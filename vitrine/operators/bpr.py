@@ -39,7 +39,7 @@ def _start(ids: DataFrame, side: int, dim: int, seed: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            v = [np.random.default_rng([seed, side, int(i)]).standard_normal(dim) * SCALE for i in b.id]
+            v = [np.random.default_rng([seed, side, int(i) % (1 << 64)]).standard_normal(dim) * SCALE for i in b.id]
             zero = [np.zeros(dim)] * len(b)
             yield pd.DataFrame({"side": np.int32(side), "id": b.id, "v": v, "m": zero, "s": zero, "n": np.int32(0)})
 
@@ -86,12 +86,13 @@ def train(pairs: DataFrame, dim: int = 32, epochs: int = 100, patience: int = 8,
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
     state = materialize(_start(users, 0, dim, seed).unionByName(_start(items, 1, dim, seed)), "factors")
     null = lambda kind: F.lit(None).cast(kind)
-    known = pairs.select(of("u").alias("b"), of("i").alias("ib"), F.lit(2).alias("side"), F.col("u").alias("id"), F.array(F.col("i").cast("double"), F.col("held").cast("double")).alias("v"), null("array<double>").alias("m"), null("array<double>").alias("s"), F.lit(0).alias("n"))
+    known = pairs.select(of("u").alias("b"), of("i").alias("ib"), F.lit(2).alias("side"), F.col("u").alias("id"), F.col("i").alias("item"), "held", *[null("array<double>").alias(c) for c in "vms"], F.lit(0).alias("n"))
     best, losses = (None, state, 0), []
     for epoch in range(1, epochs + 1):
         total, count = 0.0, 0
         for shift in range(n_blocks):
-            with_block = state.withColumn("b", F.when(F.col("side") == 0, of("id")).otherwise(F.pmod(of("id") - shift, F.lit(n_blocks))).cast("int"))
+            with_block = state.withColumn("item", F.lit(0).cast("bigint")).withColumn("held", F.lit(False))  # no null, or pandas makes floats of the ids
+            with_block = with_block.withColumn("b", F.when(F.col("side") == 0, of("id")).otherwise(F.pmod(of("id") - shift, F.lit(n_blocks))).cast("int"))
             now = known.where(F.pmod(F.col("ib") - shift, F.lit(n_blocks)) == F.col("b")).drop("ib")
 
             def learn(pdf: pd.DataFrame) -> pd.DataFrame:  # runs before epoch and shift go on
@@ -102,13 +103,14 @@ def train(pairs: DataFrame, dim: int = 32, epochs: int = 100, patience: int = 8,
                 loss, n = 0.0, 0
                 if len(met) and len(ids[1]):
                     order = [np.argsort(x) for x in ids]
-                    cells = np.stack(met.v.to_numpy())
+                    is_out = met.held.to_numpy(bool)
+                    items = met["item"].to_numpy(np.int64)
                     u = order[0][np.searchsorted(ids[0], met.id.to_numpy(), sorter=order[0])]
-                    i = order[1][np.searchsorted(ids[1], cells[:, 0].astype(np.int64), sorter=order[1])]
+                    i = order[1][np.searchsorted(ids[1], items, sorter=order[1])]
                     codes = np.sort(u * len(ids[1]) + i)
                     rng = np.random.default_rng([seed, epoch, shift, int(pdf.b.iloc[0])])
                     (uv, um, us, un), (iv, im, is_, in_) = tables
-                    out, kept = np.nonzero(cells[:, 1] > 0)[0], np.nonzero(cells[:, 1] == 0)[0]
+                    out, kept = np.nonzero(is_out)[0], np.nonzero(~is_out)[0]
                     shuffled = rng.permutation(kept)
                     for lo in range(0, len(kept), batch):
                         k = shuffled[lo : lo + batch]
@@ -123,9 +125,9 @@ def train(pairs: DataFrame, dim: int = 32, epochs: int = 100, patience: int = 8,
                         j = _negatives(u[out], codes, len(ids[1]), np.random.default_rng([seed, shift, int(pdf.b.iloc[0])]))
                         k, j = out[j >= 0], j[j >= 0]
                         loss, n = float(np.logaddexp(0, -(uv[u[k]] * (iv[i[k]] - iv[j])).sum(1)).sum()), len(k)
-                parts = [pd.DataFrame({"side": np.int32(side), "id": ids[side], "v": list(t[0]), "m": list(t[1]), "s": list(t[2]), "n": t[3].astype(np.int32)}) for side, t in enumerate(tables)]
-                parts.append(pd.DataFrame({"side": [np.int32(3)], "v": [None], "m": [None], "s": [None], "loss": [loss], "pairs": [n]}))
-                return pd.concat(parts, ignore_index=True)[[c.split()[0] for c in _OUT.split(", ")]].astype({"id": "Int64", "n": "Int32", "pairs": "Int64"})
+                parts = [pd.DataFrame({"side": np.int32(side), "id": ids[side], "v": list(t[0]), "m": list(t[1]), "s": list(t[2]), "n": t[3].astype(np.int32), "loss": 0.0, "pairs": 0}) for side, t in enumerate(tables)]
+                parts.append(pd.DataFrame({"side": [np.int32(3)], "id": [0], "v": [None], "m": [None], "s": [None], "n": [np.int32(0)], "loss": [loss], "pairs": [n]}))
+                return pd.concat(parts, ignore_index=True)[[c.split()[0] for c in _OUT.split(", ")]]  # without a missing value, or ids become floats
 
             new = materialize(with_block.unionByName(now).groupBy("b").applyInPandas(learn, _OUT), "factors")
             row = new.where("side = 3").agg(F.sum("loss"), F.sum("pairs")).first()

@@ -12,6 +12,7 @@ from vitrine.functions.text import terms
 
 #: Weights of the field classes: A title and brand, B description, C category and subcategory.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
+SALTS = 16
 #: Beyond the number of terms that a text can have.
 FIELD = 1 << 32
 FIELDS = {"title": "A", "brand": "A", "description": "B", "category": "C", "subcategory": "C"}
@@ -30,12 +31,19 @@ def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
     return queries.select(query, t.alias("t")).select(query, F.size("t").alias("n_terms"), F.explode("t").alias("term"))
 
 
+def _meet(queries: DataFrame, postings: DataFrame, item: str) -> DataFrame:
+    """The queries' terms joined with their postings. A common term has as many postings as there are items: they are spread over SALTS parts
+    by item, and the terms, few in comparison, go to each part."""
+    parts = postings.withColumn("_s", F.pmod(F.xxhash64(item), F.lit(SALTS)).cast("int"))
+    return queries.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(parts, ["term", "_s"]).drop("_s")
+
+
 def match_all(queries: DataFrame, index: DataFrame, query: str, item: str = "product_id") -> DataFrame:
     """query, item, score of the items that hold all terms of the query. A term adds w / (w + 1), w being the weighted count of its
-    occurrences. Postings are first added up per term and item; the equi-join on the term is the only thing that meets them."""
+    occurrences. Postings are first added up per term and item; the salted equi-join on the term is the only thing that meets them."""
     weight = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     w = index.groupBy("term", item).agg(F.sum(F.col("tf") * weight[F.col("class")]).alias("w"))
-    hits = queries.join(w, "term")
+    hits = _meet(queries, w, item)
     return hits.groupBy(query, item, "n_terms").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("w") / (F.col("w") + 1)), 6).alias("score")).where("n = n_terms").select(query, item, "score")
 
 
@@ -44,7 +52,7 @@ def cover_density(queries: DataFrame, index: DataFrame, query: str, item: str =
     length (Clarke, Cormack and Tudhope 1999), for items that hold all terms. Positions of different fields lie further
     apart than any field is long."""
     flat = index.groupBy("term", item).agg(F.flatten(F.collect_list(F.transform("positions", lambda p: p["f"].cast("bigint") * FIELD + p["pos"]))).alias("at"))
-    hits = queries.join(flat, "term").groupBy(query, item, "n_terms").agg(F.collect_list("at").alias("at"), F.count(F.lit(1)).alias("n")).where("n = n_terms").select(query, item, "at")
+    hits = _meet(queries, flat, item).groupBy(query, item, "n_terms").agg(F.collect_list("at").alias("at"), F.count(F.lit(1)).alias("n")).where("n = n_terms").select(query, item, "at")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from vitrine.functions import text as tx
+from vitrine.operators import fusion as fu
+from vitrine.operators import ranking as rk
 from vitrine.plans.storage import materialize
 
 # fixed values: the feature order is a contract of trained models
@@ -109,37 +111,41 @@ def linear(names: list[str], weights: list[float]) -> Column:
 
 
 class Mlp:
-    """25 -> 64 -> 32 -> 1 with ReLU, in NumPy."""
+    """inputs -> hidden layers with ReLU -> 1, in NumPy; without hidden layers a linear model."""
 
-    def __init__(self, inputs: int, hidden: tuple[int, int] = (64, 32), seed: int = 3) -> None:
+    def __init__(self, inputs: int, hidden: tuple[int, ...] = (64, 32), seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         sizes = [inputs, *hidden, 1]
         self.layers = [(rng.standard_normal((a, b)) * np.sqrt(2 / a), np.zeros(b)) for a, b in zip(sizes, sizes[1:])]
 
-    def forward(self, x: np.ndarray) -> list[np.ndarray]:
+    def forward(self, x: np.ndarray, mask: np.ndarray | None = None) -> list[np.ndarray]:
+        """The values of all layers. ``mask`` (training only) multiplies the first hidden layer: 0 for dropped units, more than 1 for kept."""
         out = [x]
         for i, (w, b) in enumerate(self.layers):
             z = out[-1] @ w + b
-            out.append(np.maximum(z, 0) if i < len(self.layers) - 1 else z)
+            z = np.maximum(z, 0) if i < len(self.layers) - 1 else z
+            out.append(z * mask if i == 0 and mask is not None and len(self.layers) > 1 else z)
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.forward(x)[-1][:, 0]
 
-    def gradients(self, acts: list[np.ndarray], d: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def gradients(self, acts: list[np.ndarray], d: np.ndarray, mask: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
         for i in range(len(self.layers) - 1, -1, -1):
             out.append((acts[i].T @ d, d.sum(0)))
             if i:
                 d = (d @ self.layers[i][0].T) * (acts[i] > 0)
+                d = d * mask if i == 1 and mask is not None else d
         return out[::-1]
 
 
-def train_ranknet(better: np.ndarray, worse: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 1e-3, patience: int = 5, seed: int = 3) -> tuple[Mlp, list[float]]:
+def train_ranknet(better: np.ndarray, worse: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 1e-3, patience: int = 5, seed: int = 3, hidden: tuple[int, ...] = (64, 32), dropout: float = 0.1) -> tuple[Mlp, list[float]]:
     """Fits the network so that better rows outscore worse ones (softplus of the negative margin, Adam), stopping when the loss on every
-    tenth pair has not fallen for ``patience`` epochs. Returns the best model and the losses."""
+    tenth pair has not fallen for ``patience`` epochs. While training, a share ``dropout`` of the first hidden layer is dropped. Returns the
+    best model and the losses."""
     rng = np.random.default_rng(seed)
-    model, best, stale = Mlp(better.shape[1], seed=seed), None, 0
+    model, best, stale = Mlp(better.shape[1], hidden, seed), None, 0
     held = np.arange(len(better)) % 10 == 0
     if held.all() or len(better) < 10:
         held[:] = False
@@ -149,9 +155,10 @@ def train_ranknet(better: np.ndarray, worse: np.ndarray, epochs: int = 40, batch
         order = rng.permutation(np.nonzero(~held)[0])
         for lo in range(0, len(order), batch):
             i = order[lo : lo + batch]
-            fa, fb = model.forward(better[i]), model.forward(worse[i])
+            ma, mb = (((rng.random((len(i), hidden[0])) >= dropout) / (1 - dropout) for _ in range(2)) if hidden and dropout else (None, None))
+            fa, fb = model.forward(better[i], ma), model.forward(worse[i], mb)
             g = -1 / (1 + np.exp(np.clip(fa[-1] - fb[-1], -50, 50))) / len(i)
-            ga, gb = model.gradients(fa, g), model.gradients(fb, -g)
+            ga, gb = model.gradients(fa, g, ma), model.gradients(fb, -g, mb)
             step += 1
             for j, ((w, b), (mw, vw, mb, vb)) in enumerate(zip(model.layers, moments)):
                 for p, grad, m, v in ((w, ga[j][0] + gb[j][0], mw, vw), (b, ga[j][1] + gb[j][1], mb, vb)):
@@ -171,6 +178,30 @@ def train_ranknet(better: np.ndarray, worse: np.ndarray, epochs: int = 40, batch
     return model, losses
 
 
+#: Networks that are tried: a linear one, one hidden layer, two.
+ARCHITECTURES = ((), (32,), (64, 32))
+
+
+def choose_ranknet(better: np.ndarray, worse: np.ndarray, architectures: tuple[tuple[int, ...], ...] = ARCHITECTURES, **options) -> tuple[Mlp, list[float], tuple[int, ...]]:
+    """The network of the least loss on the held-out pairs, its losses and its hidden layers; of equal ones the smaller."""
+    tried = [(*train_ranknet(better, worse, hidden=h, **options), h) for h in architectures]
+    return min(tried, key=lambda t: (round(min(t[1]), 9), sum(t[2])))
+
+
+def candidate_features(channels: DataFrame, queries: DataFrame, products: DataFrame, depth: int) -> DataFrame:
+    """The columns of ``queries`` (query_id, query and more), product_id, place (by fused rank) and FEATURES of every candidate of
+    ``channels`` (query_id, product_id, channel, rank, score; channels keyword and semantic)."""
+    cols = [a for c in ("keyword", "semantic") for a in (F.max(F.when(F.col("channel") == c, F.col("rank"))).alias(f"{c}_rank"), F.max(F.when(F.col("channel") == c, F.col("score"))).alias(f"{c}_score"))]
+    union = channels.groupBy("query_id", "product_id").agg(*cols)
+    rrf = fu.rrf(channels, "query_id", "product_id").select("query_id", "product_id", F.col("score").alias("rrf_score"))
+    w = fu.weighted(channels, "query_id", "product_id", {"keyword": 0.5, "semantic": 0.5}, renormalise=False).select("query_id", "product_id", F.col("score").alias("weighted_score"))
+    p = products.select("product_id", "title", "brand", "description", "average_rating", "rating_count", "price")
+    d = union.join(rrf, ["query_id", "product_id"]).join(w, ["query_id", "product_id"]).join(queries, "query_id").join(p, "product_id")
+    d = rk.ranked(d, ["query_id"], "rrf_score", "product_id", "place")  # after the join, so that places have no gaps
+    f = features(d, depth)
+    return d.select(*queries.columns, "product_id", "place", *[f[c].alias(c) for c in FEATURES])
+
+
 def score_with(df: DataFrame, names: list[str], model: Mlp) -> DataFrame:
     """df with ``score``: the model is shipped once per executor, rows are scored by Arrow batches."""
     held = df.sparkSession.sparkContext.broadcast(model)

@@ -53,16 +53,8 @@ feat AS (SELECT query_id, product_id, (product_id = source)::INT AS relevance, r
 
 def dataset(spark, folder) -> DataFrame:
     """query_id, product_id, relevance, place and the 25 features of every candidate of both channels."""
-    ch = search_channels(spark, folder, DEPTH)
-    cols = [a for c in ("keyword", "semantic") for a in (F.max(F.when(F.col("channel") == c, F.col("rank"))).alias(f"{c}_rank"), F.max(F.when(F.col("channel") == c, F.col("score"))).alias(f"{c}_score"))]
-    union = ch.groupBy("query_id", "product_id").agg(*cols)
-    rrf = fu.rrf(ch, "query_id", "product_id").select("query_id", "product_id", F.col("score").alias("rrf_score"))
-    w = fu.weighted(ch, "query_id", "product_id", {"keyword": 0.5, "semantic": 0.5}, renormalise=False).select("query_id", "product_id", F.col("score").alias("weighted_score"))
-    p = table(spark, folder, "products").select("product_id", "title", "brand", "description", "average_rating", "rating_count", "price")
-    d = union.join(rrf, ["query_id", "product_id"]).join(w, ["query_id", "product_id"]).join(query_set(spark, folder).drop("v"), "query_id").join(p, "product_id")
-    d = rk.ranked(d, ["query_id"], "rrf_score", "product_id", "place")  # after the join, so that places have no gaps
-    f = learn.features(d, DEPTH)
-    return d.select("query_id", "product_id", (F.col("product_id") == F.col("source")).cast("int").alias("relevance"), "place", *[f[c].alias(c) for c in learn.FEATURES])
+    d = learn.candidate_features(search_channels(spark, folder, DEPTH), query_set(spark, folder).drop("v"), table(spark, folder, "products"), DEPTH)
+    return d.select("query_id", "product_id", (F.col("product_id") == F.col("source")).cast("int").alias("relevance"), "place", *learn.FEATURES)
 
 
 def _rounded(cols, n: int = 6):
@@ -195,7 +187,7 @@ def eval_search(spark, folder):
 
 
 def trained(spark, folder):
-    """The dataset, a network trained on its hard-negative pairs (at most MAX_PAIRS come to the driver) and the losses."""
+    """The dataset, the network of the least held-out loss trained on its hard-negative pairs (at most MAX_PAIRS come to the driver) and the losses."""
     d = materialize(dataset(spark, folder), "dataset")
     p = learn.hard_negative_pairs(d, "query_id", "product_id", "place", "relevance", 8)
     vec = F.array(*[F.col(c).cast("double") for c in learn.FEATURES])
@@ -204,7 +196,7 @@ def trained(spark, folder):
     if not len(rows):
         raise ValueError("no pairs to train on")
     a, b = np.array(rows.a.tolist()), np.array(rows.b.tolist())
-    return d, *learn.train_ranknet(a, b)
+    return d, *learn.choose_ranknet(a, b)[:2]
 
 
 @CORE.query("ltr_train")

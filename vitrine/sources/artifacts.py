@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.operators.bpr import Factors
 from vitrine.operators.learn import FEATURE_VERSION, Mlp
 from vitrine.sources.files import write_json_atomic
 
@@ -91,11 +92,35 @@ def load_ranker(folder: str, dataset_version: str | None = None) -> tuple[Mlp, n
     if m.version != FEATURE_VERSION or file_digest(path) != m.checks["sha256"]:
         raise Incompatible(f"{folder}: other features or changed weights")
     z = np.load(path)
-    model = Mlp(len(z["mean"]))
-    model.layers = [(z[f"w{i}"], z[f"b{i}"]) for i in range(len(model.layers))]
+    n = sum(k.startswith("w") for k in z.files)
+    model = Mlp(len(z["mean"]), ())
+    model.layers = [(z[f"w{i}"], z[f"b{i}"]) for i in range(n)]
     return model, z["mean"], z["std"]
 
 
+def save_factors(factors: Factors, folder: str, dataset_version: str) -> Manifest:
+    """User and item factors with their counts and dimension."""
+    counts = {}
+    for name in ("users", "items"):
+        getattr(factors, name).write.mode("overwrite").parquet(os.path.join(folder, name))
+        counts[name] = factors.users.sparkSession.read.parquet(os.path.join(folder, name)).count()
+    first = factors.items.select("v").first()
+    m = Manifest("factors", "bpr-v1", dataset_version, counts | {"dim": len(first[0]) if first else 0})
+    m.write(folder)
+    return m
+
+
+def load_factors(spark: SparkSession, folder: str, dataset_version: str | None = None) -> Factors:
+    m = Manifest.read(folder, "factors", dataset_version)
+    out = Factors(*[spark.read.parquet(os.path.join(folder, name)) for name in ("users", "items")])
+    for name in ("users", "items"):
+        df = getattr(out, name)
+        found = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("v") != m.checks["dim"], 1)).alias("bad")).first()
+        if found.n != m.checks[name] or found.bad:
+            raise Incompatible(f"{folder}/{name}: {found.n} rows, {found.bad} of another dimension")
+    return out
+
+
 @dataclass(frozen=True)
 class Policy:
     """Frozen weights of a ranking: channel weights that sum to 1, and the largest share a preference may add."""
