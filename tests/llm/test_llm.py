@@ -304,6 +304,45 @@ def test_lists_and_blocks_do_not_change_pairs(spark, monkeypatch):
     assert rows_of(sv.similar_pairs(df, "product_id", "embedding", 0.9)) == whole
 
 
+def test_near_pairs_send_no_vectors_to_pairs_of_blocks(spark):
+    df = spark.createDataFrame([(f"v{i:03}", v.tolist()) for i, v in enumerate(vectors_of(200))], "product_id string, embedding array<float>")
+    assert "CoGroup" not in sv.similar_pairs(df, "product_id", "embedding", 0.9)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("noise", [0.005, 0.02, 0.04, 0.1])
+def test_groups_around_leaders_lose_no_neighbour(noise, monkeypatch):
+    """One dense group and single vectors: as many blocks, tiles and pieces as the constants make, against all products."""
+    monkeypatch.setattr(sv, "TILE", 64)
+    monkeypatch.setattr(sv, "TILE_ROWS", 32)
+    monkeypatch.setattr(sv, "PAIRS", 500)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 64))
+    x[:250] = x[0] / np.linalg.norm(x[0]) + noise * rng.standard_normal((250, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)[rng.permutation(400)]
+    blocks = []
+    for at in np.split(np.arange(400), [130, 300]):
+        lead = sv.leaders(x[at])
+        order = np.argsort(lead, kind="stable")
+        start = np.append(np.nonzero(np.diff(lead[order], prepend=-1))[0], len(at))
+        own = x[at][order].astype(float)
+        radius = np.array([np.arccos(np.clip((own[lo:hi] @ own[lo]).min() - 1e-6, -1, 1)) if hi - lo > 1 else 0.0 for lo, hi in zip(start, start[1:])])
+        ids = at[order].astype(object)
+        blocks.append(sv.Block(ids, np.argsort(np.argsort(ids)), x[at][order], start, radius))
+    found = {}
+    for i, a in enumerate(blocks):
+        bar = np.full(len(a.cids), 0.9 - sv.SLACK)
+        for b in blocks[i:]:
+            of_a, of_b = sv.near(a, b, 0.9, 5, bar)
+            for best, own, others in [(of_a, a, b), (of_b, b, a)][: 1 if a is b else 2]:
+                for e, o, c in zip(*best.kept()):
+                    found.setdefault(own.cids[e], set()).add((-round(c, 7), others.cids[o]))
+    cos = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(cos, -1)
+    for i in range(400):
+        want = sorted((-round(cos[i, j], 7), j) for j in range(400) if cos[i, j] >= 0.9)[:5]
+        assert [p for p in sorted(found.get(i, ())) if p[0] <= -0.9][:5] == want
+
+
 # ---- p8, p9
 
 TEXTS = [None, "", " ", "\n\n  \t", "don't  stop", "naïve façade ½ ² Ⅷ", "日本語のテキスト", "👩‍🔬 ok", "a" * 5000, "x　y z\x85w\x1c\x1f", "<|endoftext|>", "＂１２３＂", "end   ", "​﻿", "It's 12,99 €\r\n!!", "ok", "ok", "\U00011f04 𞤀𞤁", "word " * 3000]

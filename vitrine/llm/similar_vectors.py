@@ -6,6 +6,10 @@ Vectors of one direction are one entry of the index; of their products at most t
 group of copies adds no more than that. Lists are gathered to shards of about SHARD entries (a longer list is split by hash over several
 shards). A shard meets the queries that ask it in batches of about BLOCK, and each task searches one shard for one batch. Nothing whose
 size grows with the data is broadcast or brought to the driver; what is, is bounded by LISTS and SAMPLE, or a number per shard.
+
+Neighbours of cosine SURE or more are found wherever they lie (near_classes): the entries of a list are grouped around leaders, all pairs of
+leaders are multiplied, and the members of two leaders only if their radii allow that cosine. Lists are gathered to blocks of about BLOCK
+entries, each written once to the shared folder, and a task reads the blocks whose pairs it takes from there: nothing is sent for each pair.
 """
 
 from __future__ import annotations
@@ -15,11 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vitrine.plans.storage import materialize
+from vitrine.plans.storage import materialize, write_parts
 
 DIM = 64
 SAMPLE = 50_000
@@ -38,6 +45,12 @@ SURE = 0.9
 SLACK = 1e-5
 #: Pairs that are multiplied exactly at a time.
 PAIRS = 100_000
+#: Entries of a list of this cosine or more to a leader form its group; so many entries are grouped at once.
+CLOSE, GROUPED = 0.93, 4_096
+#: Small collections are cut into blocks of at least so many entries, and tasks take at least so many pairs of entries.
+LEAST_BLOCK, TASK_PAIRS = 1_024, 2_000_000_000
+#: Leaders that are multiplied with so many others at a time, entries with as many where most of two leaders' members qualify.
+TILE, TILE_ROWS = 4_096, 512
 
 
 def _spread(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
@@ -121,22 +134,12 @@ def encode(x: np.ndarray, book: Codebook) -> tuple[np.ndarray, np.ndarray]:
     return at, out
 
 
-def allowed(x: np.ndarray, centroids: np.ndarray, lists: np.ndarray, least: float) -> np.ndarray:
-    """queries x lists: whether the list can hold an entry of cosine ``least`` (at least 0) or more with the query. The entries of a list lie
-    on its side of the plane between its centroid and the query's nearest one, and an entry within the angle of ``least`` is at most its sine
-    away from the query, so this leaves out no such entry."""
-    own, there = centroids[nearest(x, centroids)], centroids[lists]
-    gap = (own * own).sum(1)[:, None] + (there * there).sum(1) - 2 * own @ there.T
-    return (x * own).sum(1)[:, None] - x @ there.T <= (1 - least * least) ** 0.5 * np.sqrt(np.maximum(gap, 0) + 1e-6) + SLACK
-
-
 def search(q: np.ndarray, probes: list[np.ndarray], vec: np.ndarray, lists: np.ndarray, codes: np.ndarray, book: Codebook, k: int, rerank: int, least: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (-1 for none) and cosines of the k best entries of each query of cosine ``least`` or more, equal cosines by position: all
-    among those in its probed lists, and among the rest all of cosine SURE or more.
+    """Positions (-1 for none) and cosines of the k best entries of each query of cosine ``least`` or more in its probed lists, equal cosines
+    by position.
 
     Tables of each query with all codes give the asymmetric products; the best ``rerank`` by these are compared exactly. The k-th of them is
-    the bar: whatever in the probed lists can reach it by its product plus the error of its code, and all of the further lists that may hold
-    entries of cosine SURE, is multiplied out.
+    the bar: whatever in the probed lists can reach it by its product plus the error of its code is multiplied out.
     """
     order = np.argsort(lists, kind="stable")
     present, start = np.unique(lists[order], return_index=True)
@@ -161,8 +164,6 @@ def search(q: np.ndarray, probes: list[np.ndarray], vec: np.ndarray, lists: np.n
         by_list.pop(-1, None)
         bar = np.full(len(x), least - SLACK)
         wanted = np.zeros(len(order), bool)
-        for s in np.nonzero(allowed(x, book.centroids, present, max(SURE, least)).any(0))[0]:
-            wanted[start[s] : stop[s]] = True
         if by_list:
             used = sorted(by_list)
             here = np.concatenate([np.arange(start[s], stop[s]) for s in used])
@@ -205,8 +206,205 @@ def search(q: np.ndarray, probes: list[np.ndarray], vec: np.ndarray, lists: np.n
     return best, score
 
 
+def shards_of(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, split): lists of these sizes are gathered in order to shards of at most ``most`` entries; a longer list is split over several."""
+    first, split, shard, room = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, most
+    for i, s in enumerate(sizes):
+        if s > most:
+            split[i] = -(-s // most)
+            shard += room < most
+            first[i] = shard
+            shard, room = shard + split[i], most
+        else:
+            if s > room:
+                shard, room = shard + 1, most
+            first[i], room = shard, room - s
+    return first, split
+
+
+def leaders(x: np.ndarray) -> np.ndarray:
+    """For each unit vector the position of its leader, a vector of cosine CLOSE or more or itself."""
+    lead = np.full(len(x), -1)
+    for lo in range(0, len(x), GROUPED):
+        near = x[lo : lo + GROUPED] @ x[lo : lo + GROUPED].T >= CLOSE
+        free = np.ones(len(near), bool)
+        for i in range(len(near)):
+            if free[i]:
+                own = near[i] & free
+                own[i] = True
+                lead[lo + np.nonzero(own)[0]] = lo + i
+                free &= ~own
+    return lead
+
+
+@dataclass
+class Block:
+    """Entries in the order of their groups, of which the first is the leader: start (one more than groups), radius (angle)."""
+
+    cids: np.ndarray
+    rank: np.ndarray
+    vec: np.ndarray
+    start: np.ndarray
+    radius: np.ndarray
+
+
+def read_block(folder: str, block: int, dim: int) -> Block:
+    files, path = pyarrow.fs.FileSystem.from_uri(folder)
+    if files.get_file_info(f"{path}/block={block}").type == pyarrow.fs.FileType.NotFound:  # no entry's hash fell there
+        return Block(np.zeros(0, object), np.zeros(0, np.int64), np.zeros((0, dim), np.float32), np.zeros(1, np.int64), np.zeros(0))
+    row = pyarrow.parquet.read_table(f"{path}/block={block}", filesystem=files, columns=["cids", "vec", "start", "radius"]).to_pydict()
+    cids = np.array(row["cids"][0], object)
+    rank = np.empty(len(cids), np.int64)
+    rank[np.argsort(cids, kind="stable")] = np.arange(len(cids))
+    return Block(cids, rank, np.frombuffer(row["vec"][0], np.float32).reshape(-1, dim), np.frombuffer(row["start"][0], np.int64), np.frombuffer(row["radius"][0], np.float64))
+
+
+class Best:
+    """The k best others of each entry among those added; bar: what an other's cosine must reach to be one of them."""
+
+    def __init__(self, bar: np.ndarray, rank: np.ndarray, k: int) -> None:
+        self.bar, self.rank, self.k = bar, rank, k
+        self.rows, self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def add(self, entry: np.ndarray, other: np.ndarray, cos: np.ndarray) -> None:
+        self.rows.append((entry, other, cos))
+        self.held += len(entry)
+        if self.held > 10 * PAIRS:
+            self.kept()
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        entry, other, cos = (np.concatenate(c) for c in zip(*self.rows))
+        order = np.lexsort((self.rank[other], -np.round(cos, DIGITS), entry))
+        entry, other, cos = entry[order], other[order], cos[order]
+        place = np.arange(len(entry)) - np.searchsorted(entry, entry)
+        last = place == self.k - 1
+        self.bar[entry[last]] = np.maximum(self.bar[entry[last]], cos[last] - SLACK)
+        kept = place < self.k
+        self.rows, self.held = [(entry[kept], other[kept], cos[kept])], 0
+        return self.rows[0]
+
+
+def near(a: Block, b: Block, least: float, k: int, bar: np.ndarray) -> tuple[Best, Best]:
+    """For each entry of a its k best of b, and for each of b its k best of a, of cosine ``least`` or more; a and b may be one. bar: what the
+    others of a's entries must reach already; it is raised."""
+    of_a = Best(bar, b.rank, k)
+    of_b = of_a if a is b else Best(np.full(len(b.cids), least - SLACK), a.rank, k)
+
+    def add(row: np.ndarray, col: np.ndarray) -> None:
+        for lo in range(0, len(row), PAIRS):
+            r, c = row[lo : lo + PAIRS], col[lo : lo + PAIRS]
+            cos = np.einsum("nd,nd->n", a.vec[r].astype(np.float64), b.vec[c].astype(np.float64))
+            of_a.add(r, c, cos)
+            of_b.add(c, r, cos)
+
+    def all_of(r0: int, r1: int, c0: int, c1: int) -> None:
+        """Entries r0 to r1 with c0 to c1, as they stand."""
+        for r in range(r0, r1, TILE_ROWS):
+            for c in range(max(c0, r + 1) if a is b else c0, c1, TILE_ROWS):
+                rows, cols = np.arange(r, min(r + TILE_ROWS, r1)), np.arange(c, min(c + TILE_ROWS, c1))
+                product = a.vec[rows] @ b.vec[cols].T
+                if a is b:
+                    product[rows[:, None] >= cols] = -np.inf
+                need, theirs = of_a.bar[rows], of_b.bar[cols]
+                over = (product >= need[:, None]) | (product >= theirs)
+                if over.sum() > 4 * k * (len(rows) + len(cols)):
+                    if len(cols) > k:
+                        need = np.maximum(need, np.partition(product, len(cols) - k, axis=1)[:, len(cols) - k] - SLACK)
+                    if len(rows) > k:
+                        theirs = np.maximum(theirs, np.partition(product, len(rows) - k, axis=0)[len(rows) - k] - SLACK)
+                    over = (product >= need[:, None]) | (product >= theirs)
+                i, j = np.nonzero(over)
+                add(rows[i], cols[j])
+
+    # x·y >= cos(angle + radius of x's group + radius of y's) of two leaders x, y, as one product
+    angle = np.arccos(least - SLACK) + a.radius
+    left = np.column_stack([a.vec[a.start[:-1]], -np.cos(angle), np.sin(angle)]).astype(np.float32)
+    right = np.column_stack([b.vec[b.start[:-1]], np.cos(b.radius), np.sin(b.radius)]).astype(np.float32)
+    n_a, n_b = np.diff(a.start), np.diff(b.start)
+    for lo in range(0, len(left), TILE_ROWS):
+        for at in range(lo if a is b else 0, len(right), TILE):
+            part = right[at : at + TILE]
+            met = np.flatnonzero(left[lo : lo + TILE_ROWS] @ part.T >= -SLACK)
+            x, y = lo + met // len(part), at + met % len(part)
+            if a is b:
+                x, y = x[x <= y], y[x <= y]
+            if not len(x):
+                continue
+            n = n_a[x] * n_b[y]
+            r0, r1, c0, c1 = a.start[lo], a.start[min(lo + TILE_ROWS, len(left))], b.start[at], b.start[at + len(part)]
+            if 10 * n.sum() > (r1 - r0) * (c1 - c0):
+                all_of(r0, r1, c0, c1)
+                continue
+            for i in np.nonzero(n > PAIRS)[0]:
+                all_of(a.start[x[i]], a.start[x[i] + 1], b.start[y[i]], b.start[y[i] + 1])
+            x, y, n = x[n <= PAIRS], y[n <= PAIRS], n[n <= PAIRS]
+            cut = np.searchsorted(np.cumsum(n) // PAIRS, np.arange(n.sum() // PAIRS + 2))
+            for i, j in zip(cut, cut[1:]):
+                pair = np.repeat(np.arange(i, j), n[i:j])
+                place = np.arange(len(pair)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
+                row, col = a.start[x[pair]] + place // n_b[y[pair]], b.start[y[pair]] + place % n_b[y[pair]]
+                kept = np.einsum("nd,nd->n", a.vec[row], b.vec[col]) >= least - SLACK
+                if a is b:
+                    kept &= row < col
+                add(row[kept], col[kept])
+    return of_a, of_b
+
+
+def near_classes(indexed: DataFrame, sizes: np.ndarray, dim: int, k: int, least: float) -> DataFrame:
+    """cid, other, cosine: for each entry (cid, vec, list) its k most similar other entries of cosine ``least`` or more, and others of it; all
+    pairs of entries are compared. sizes: of each list."""
+    spark, n = indexed.sparkSession, int(sizes.sum())
+    first, split = shards_of(sizes, min(BLOCK, max(LEAST_BLOCK, -(-n // 8))))
+    placing = spark.sparkContext.broadcast((first, split))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, split = placing.value
+        for b in batches:
+            at = b["list"].to_numpy()
+            yield b.assign(block=(first[at] + b.part.to_numpy() % split[at]).astype("int32")).drop(columns="part")
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["list", "cid"], kind="stable")
+        x, at = np.frombuffer(b"".join(pdf.vec), np.float32).reshape(-1, dim), pdf["list"].to_numpy()
+        edge = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1, [len(at)]])
+        lead = np.concatenate([lo + leaders(x[lo:hi]) for lo, hi in zip(edge, edge[1:])])
+        # the leader is the first of its group that is not in an earlier one, so the order is the leaders' and then the members'
+        order = np.argsort(lead, kind="stable")
+        x, lead = x[order], lead[order]
+        start = np.append(np.nonzero(np.diff(lead, prepend=-1))[0], len(lead))
+        size = np.diff(start)
+        cos = np.einsum("nd,nd->n", x.astype(np.float64), np.repeat(x[start[:-1]], size, axis=0))
+        radius = np.where(size > 1, np.arccos(np.clip(np.minimum.reduceat(cos, start[:-1]) - 1e-6, -1, 1)), 0.0)
+        return pd.DataFrame({"block": pdf.block.iloc[:1].to_numpy(), "cids": [pdf.cid.to_numpy()[order]], "vec": [x.tobytes()], "start": [start.astype(np.int64).tobytes()], "radius": [radius.tobytes()]})
+
+    part = F.pmod(F.xxhash64("cid", F.lit("part")), F.lit(1 << 30)).alias("part")
+    placed = indexed.select("cid", "vec", "list", part).mapInPandas(place, "cid string, vec binary, list int, block int")
+    folder = write_parts(placed.groupBy("block").applyInPandas(gather, "block int, cids array<string>, vec binary, start binary, radius binary"), "block", "blocks")
+    # a number for each pair of blocks with entries: those of the first with all, of the second with all from itself, ...
+    held = np.unique(np.concatenate([np.arange(f, f + s) for f, s, size in zip(first, split, sizes) if size]))
+    before = np.concatenate([[0], np.cumsum(np.arange(len(held), 0, -1))])
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, at, bar = None, -1, None
+        for ids in batches:
+            for p in ids.id:
+                i = int(np.searchsorted(before, p, "right")) - 1
+                if i != at:
+                    a, at = read_block(folder, held[i], dim), i
+                    bar = np.full(len(a.cids), least - SLACK)
+                b = a if p == before[i] else read_block(folder, held[i + p - before[i]], dim)
+                of_a, of_b = near(a, b, least, k, bar)
+                for best, own, others in [(of_a, a, b), (of_b, b, a)][: 1 if a is b else 2]:
+                    entry, other, cos = best.kept()
+                    yield pd.DataFrame({"cid": own.cids[entry], "other": others.cids[other], "cosine": cos})
+
+    tasks = int(min(before[-1], max(24, n * n // 2 // TASK_PAIRS)))
+    return spark.range(0, int(before[-1]), 1, tasks).mapInPandas(join, "cid string, other string, cosine double")
+
+
 def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probes: int, rerank: int, least: float = -1.0) -> DataFrame:
-    """cid, other, cosine: for each entry its k most similar other entries of cosine ``least`` or more, as found."""
+    """cid, other, cosine: for each entry its k most similar other entries of cosine ``least`` or more: all of cosine SURE or more, the rest
+    as found in the probed lists."""
     spark = entries.sparkSession
     entries = materialize(entries.select("cid", "u"), "entries")
     n = entries.count()
@@ -219,9 +417,8 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
     sample = np.array(drawn.u.tolist(), np.float32).reshape(-1, dim)
     if not len(sample):
         sample = np.array([entries.select("u").first()[0]], np.float32)
-    book = fit(sample, max(1, min(LISTS, int(2 * n**0.5))), parts=PARTS if dim % PARTS == 0 else 1)
+    book = fit(sample, max(1, min(LISTS, int(2 * n**0.5))), parts=PARTS if dim % PARTS == 0 else 1, codes=CODES if least < SURE else 1)
     n_lists = len(book.centroids)
-    probes = min(n_lists, max(least_probes, round(probe_share * n_lists)))
     held = spark.sparkContext.broadcast(book)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,40 +431,33 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
     sizes = np.zeros(n_lists, np.int64)
     for row in indexed.groupBy("list").count().collect():  # at most LISTS rows
         sizes[row[0]] = row[1]
-    first, split, shard, room = np.zeros(n_lists, np.int64), np.ones(n_lists, np.int64), 0, SHARD
-    for i, s in enumerate(sizes):
-        if s > SHARD:
-            split[i] = -(-s // SHARD)
-            shard += room < SHARD
-            first[i] = shard
-            shard, room = shard + split[i], SHARD
-        else:
-            if s > room:
-                shard, room = shard + 1, SHARD
-            first[i], room = shard, room - s
+    found = near_classes(indexed, sizes, dim, k, max(SURE, least))
+    if least < SURE:
+        probed = probed_classes(indexed, sizes, dim, held, min(n_lists, max(least_probes, round(probe_share * n_lists))), k, rerank, least)
+        found = found.unionByName(probed).groupBy("cid", "other").agg(F.max("cosine").alias("cosine"))
+    best = W.partitionBy("cid").orderBy(F.round("cosine", DIGITS).desc(), "other")
+    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+
+
+def probed_classes(indexed: DataFrame, sizes: np.ndarray, dim: int, held: Broadcast, probes: int, k: int, rerank: int, least: float) -> DataFrame:
+    """cid, other, cosine: for each entry (cid, vec, list, code) of an index with the codebook ``held`` its k most similar other entries in
+    each shard of the ``probes`` nearest lists. sizes: of each list."""
+    spark, n_lists = indexed.sparkSession, len(sizes)
+    first, split = shards_of(sizes, SHARD)
     placing = spark.sparkContext.broadcast((first, split))
-    filled = np.nonzero(sizes)[0]
     shards = int((first + split).max())
 
-    def asked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(nearest lists, queries x shards: whether a shard is asked for what lies beyond them) of unit vectors."""
-        first, split = placing.value
-        c = held.value.centroids
-        sim = x @ c.T
-        near = np.argpartition(-sim, probes - 1, axis=1)[:, :probes] if probes < n_lists else np.tile(np.arange(n_lists), (len(x), 1))
-        # shards of further lists are asked too; which lists these are is found again there
-        meets = np.zeros((len(x), shards), bool)
-        for lo in range(0, len(x), 1024):
-            may = allowed(x[lo : lo + 1024], c, filled, max(SURE, least))
-            for i, l in enumerate(filled):  # noqa: E741
-                meets[lo : lo + 1024, first[l] : first[l] + split[l]] |= may[:, i : i + 1]
-        return near, meets
+    def asked(x: np.ndarray) -> np.ndarray:
+        """The nearest lists of unit vectors."""
+        sim = x @ held.value.centroids.T
+        return np.argpartition(-sim, probes - 1, axis=1)[:, :probes] if probes < n_lists else np.tile(np.arange(n_lists), (len(x), 1))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, split = placing.value
         total = np.zeros(shards, np.int64)
         for b in batches:
-            near, meets = asked(np.frombuffer(b"".join(b.vec), np.float32).reshape(-1, dim))
+            near = asked(np.frombuffer(b"".join(b.vec), np.float32).reshape(-1, dim))
+            meets = np.zeros((len(near), shards), bool)
             for i, lists in enumerate(near):
                 for l in lists:  # noqa: E741
                     meets[i, first[l] : first[l] + split[l]] = True
@@ -283,10 +473,10 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, split = placing.value
         for b in batches:
-            near, meets = asked(np.frombuffer(b"".join(b.vec), np.float32).reshape(-1, dim))
+            near = asked(np.frombuffer(b"".join(b.vec), np.float32).reshape(-1, dim))
             out = []
-            for cid, vec, part, lists, further in zip(b.cid, b.vec, b.part, near, meets):
-                to: dict[int, list[int]] = {int(s): [] for s in np.nonzero(further)[0]}
+            for cid, vec, part, lists in zip(b.cid, b.vec, b.part, near):
+                to: dict[int, list[int]] = {}
                 for l in lists:  # noqa: E741
                     for s in range(first[l], first[l] + split[l]):
                         to.setdefault(int(s), []).append(int(l))
@@ -319,9 +509,7 @@ def class_neighbours(entries: DataFrame, k: int, probe_share: float, least_probe
         found = pd.DataFrame({"cid": right.qid.to_numpy()[at], "other": ids[best[at, col]], "cosine": score[at, col]})
         return found[found.cid != found.other]
 
-    found = placed.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(look, schema)
-    best = W.partitionBy("cid").orderBy(F.round("cosine", DIGITS).desc(), "other")
-    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return placed.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(look, "cid string, other string, cosine double")
 
 
 def similar(vectors: DataFrame, item: str, embedding: str, k: int = 10, probe_share: float = 0.12, least_probes: int = 64, rerank: int = 200, least: float = -1.0) -> DataFrame:
@@ -343,7 +531,7 @@ def similar(vectors: DataFrame, item: str, embedding: str, k: int = 10, probe_sh
 
 
 def similar_pairs(vectors: DataFrame, item: str, embedding: str, least: float, k: int = 10) -> DataFrame:
-    """item_a < item_b with cosine at least ``least`` of which one is among the k most similar of the other. So near a pair mostly
-    shares a list or lies in neighbouring ones, so few lists are probed by tables; SURE and the bounds of search() find the rest."""
+    """item_a < item_b with cosine at least ``least`` of which one is among the k most similar of the other. From SURE on near_classes() finds
+    them all and no list is probed; below, few lists are probed for the rest."""
     near = similar(vectors, item, embedding, k, probe_share=0.01, least_probes=8, rerank=64, least=least).where(F.col("cosine") >= least)
     return near.select(F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b")).distinct()
