@@ -105,6 +105,28 @@ def test_unseen_catalogue_is_matched(spark, monkeypatch, hot):
     assert len(found & true) >= 0.98 * len(found)
 
 
+def test_a_line_name_of_many_makers_is_a_name(spark):
+    """12,000 listings of 200 makers; one line name is in three listings of each of four makers, a plain word in one of each of 12 makers."""
+    from vitrine.llm import word_evidence as we
+
+    brand = F.concat(F.lit("maker"), (F.col("id") % 200).cast("string"))
+    of_line, plain = (F.col("id") < 600) & (F.col("id") % 200 < 4), (F.col("id") >= 600) & (F.col("id") < 612)
+    words = F.array_compact(F.array(F.lit("cream"), brand, F.when(of_line, "velmora"), F.when(plain, "argan")))
+    kinds = we.word_kinds(spark.range(12_000).select(F.col("id").cast("string").alias("lid"), F.array(brand).alias("brand_words"), words.alias("words")))
+    kind = {r.w: r.kind for r in kinds.collect()}
+    assert (kind["velmora"], kind["argan"], kind["cream"], kind["maker7"]) == ("line", "word", "word", "maker")
+
+
+def test_what_a_shared_word_implies_is_no_conflict(spark):
+    side = "lines array<string>, makers array<string>, words array<string>, pairs array<string>, tells array<struct<u:string,ws:array<string>,implied:array<string>>>"
+    fields = ", ".join(f"{p}_{f}" for p in "ab" for f in side.replace(", ", "|").split("|")).replace("ws:array<string>|", "ws:array<string>,")
+    a = (["velmora"], ["zorin"], ["10", "coral", "gel"], [], [("10", ["coral"], ["coral"]), ("coral", ["10"], IMPLIED := ["10"])])
+    for implied, score in ((IMPLIED, 0.9), ([], 0.0)):
+        told = [(u, ws, implied and i) for u, ws, i in a[4]]
+        row = (*a[:4], told, ["velmora"], ["zorin"], ["brow", "coral", "gel"], [], told[1:])
+        assert [r.score for r in sp.scored(spark.createDataFrame([row], fields)).collect()] == [pytest.approx(score)]
+
+
 def test_matching_is_of_maximum_weight():
     rng = np.random.default_rng(1)
     for _ in range(60):
