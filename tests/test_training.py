@@ -52,3 +52,17 @@ def test_sweep_takes_the_better_dimension(spark):
     _, df = taste(spark, 20)
     dim, f = bpr.sweep(df, (2, 4), epochs=2, rate=0.1, held=0.1, patience=1)
     assert dim in (2, 4) and len(f.users.first().v) == dim
+
+
+def test_a_step_and_the_state_as_bytes():
+    """Rows that recur take one step with their gradients added up; vectors go through bytes unchanged."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((5, 3))
+    m, s, n, was = np.zeros((5, 3)), np.zeros((5, 3)), np.zeros(5, np.int64), v.copy()
+    grad = rng.standard_normal((4, 3))
+    bpr._adam(v, m, s, n, np.array([3, 1, 3, 0]), grad, 0.1)
+    total = {3: grad[0] + grad[2], 1: grad[1], 0: grad[3]}
+    for i in range(5):
+        g = total.get(i, np.zeros(3))
+        assert n[i] == (i in total) and np.allclose(v[i], was[i] - 0.1 * g / (np.abs(g) + 1e-8)) and np.allclose(m[i], 0.1 * g) and np.allclose(s[i], 0.001 * g * g)
+    assert (bpr._table(bpr._bytes(v), 3) == v).all() and bpr._table([], 3).shape == (0, 3)

@@ -20,7 +20,8 @@ from vitrine.plans.storage import discard, materialize
 #: Users or items of a block, at most about.
 BLOCK = 65_536
 SCALE = 0.01
-_STATE = "side int, id bigint, v array<double>, m array<double>, s array<double>, n int"
+#: Vectors go as the bytes of their doubles: as arrays, turning them into rows and back takes several times as long as the training.
+_STATE = "side int, id bigint, v binary, m binary, s binary, n int"
 _OUT = _STATE + ", loss double, pairs bigint"
 
 
@@ -39,23 +40,57 @@ def _start(ids: DataFrame, side: int, dim: int, seed: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            v = [np.random.default_rng([seed, side, int(i) % (1 << 64)]).standard_normal(dim) * SCALE for i in b.id]
-            zero = [np.zeros(dim)] * len(b)
+            v = [(np.random.default_rng([seed, side, int(i) % (1 << 64)]).standard_normal(dim) * SCALE).tobytes() for i in b.id]
+            zero = [np.zeros(dim).tobytes()] * len(b)
             yield pd.DataFrame({"side": np.int32(side), "id": b.id, "v": v, "m": zero, "s": zero, "n": np.int32(0)})
 
     return ids.select(F.col("id").cast("bigint").alias("id")).mapInPandas(run, _STATE)
 
 
+def _table(column: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim).copy()
+
+
+def _bytes(table: np.ndarray) -> list[bytes]:
+    raw, width = table.tobytes(), table.itemsize * table.shape[1]
+    return [raw[i : i + width] for i in range(0, len(raw), width)]
+
+
+def _vectors(state: DataFrame, dim: int) -> DataFrame:
+    """id, v of a state, as arrays."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"id": b.id, "v": list(_table(b.v, dim))})
+
+    return state.select("id", "v").mapInPandas(run, "id bigint, v array<double>")
+
+
 def _adam(v: np.ndarray, m: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """One Adam step of the rows in ``at``, whose gradients add up where a row recurs."""
-    rows, back = np.unique(at, return_inverse=True)
-    g = np.zeros((len(rows), v.shape[1]))
-    np.add.at(g, back, grad)
-    n[rows] += 1
-    m[rows] = 0.9 * m[rows] + 0.1 * g
-    s[rows] = 0.999 * s[rows] + 0.001 * g * g
-    t = n[rows][:, None]
-    v[rows] -= rate * (m[rows] / (1 - 0.9**t)) / (np.sqrt(s[rows] / (1 - 0.999**t)) + 1e-8)
+    order = np.argsort(at, kind="stable")
+    first = np.nonzero(np.diff(at[order], prepend=-1))[0]
+    if not len(first):
+        return
+    rows, g = at[order[first]], np.add.reduceat(grad[order], first, axis=0)
+    t = n[rows] + 1
+    n[rows] = t
+    a = m[rows]
+    a *= 0.9
+    a += 0.1 * g
+    m[rows] = a
+    g *= g
+    g *= 0.001
+    b = s[rows]
+    b *= 0.999
+    b += g
+    s[rows] = b
+    b /= (1 - 0.999**t)[:, None]
+    np.sqrt(b, out=b)
+    b += 1e-8
+    a *= (rate / (1 - 0.9**t))[:, None]
+    a /= b
+    v[rows] -= a
 
 
 def _negatives(u: np.ndarray, known: np.ndarray, n_items: int, rng: np.random.Generator) -> np.ndarray:
@@ -86,7 +121,7 @@ def train(pairs: DataFrame, dim: int = 32, epochs: int = 100, patience: int = 8,
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
     state = materialize(_start(users, 0, dim, seed).unionByName(_start(items, 1, dim, seed)), "factors")
     null = lambda kind: F.lit(None).cast(kind)
-    known = pairs.select(of("u").alias("b"), of("i").alias("ib"), F.lit(2).alias("side"), F.col("u").alias("id"), F.col("i").alias("item"), "held", *[null("array<double>").alias(c) for c in "vms"], F.lit(0).alias("n"))
+    known = pairs.select(of("u").alias("b"), of("i").alias("ib"), F.lit(2).alias("side"), F.col("u").alias("id"), F.col("i").alias("item"), "held", *[null("binary").alias(c) for c in "vms"], F.lit(0).alias("n"))
     best, losses = (None, state, 0), []
     for epoch in range(1, epochs + 1):
         total, count = 0.0, 0
@@ -97,7 +132,7 @@ def train(pairs: DataFrame, dim: int = 32, epochs: int = 100, patience: int = 8,
 
             def learn(pdf: pd.DataFrame) -> pd.DataFrame:  # runs before epoch and shift go on
                 rows = [pdf[pdf.side == k] for k in (0, 1)]
-                tables = [[np.stack(r[c].to_numpy()) if len(r) else np.zeros((0, dim)) for c in ("v", "m", "s")] + [r.n.to_numpy().astype(np.int64)] for r in rows]
+                tables = [[_table(r[c], dim) for c in ("v", "m", "s")] + [r.n.to_numpy().astype(np.int64)] for r in rows]
                 ids = [r.id.to_numpy() for r in rows]
                 met = pdf[pdf.side == 2].sort_values("id", kind="stable")
                 loss, n = 0.0, 0
@@ -125,7 +160,7 @@ def train(pairs: DataFrame, dim: int = 32, epochs: int = 100, patience: int = 8,
                         j = _negatives(u[out], codes, len(ids[1]), np.random.default_rng([seed, shift, int(pdf.b.iloc[0])]))
                         k, j = out[j >= 0], j[j >= 0]
                         loss, n = float(np.logaddexp(0, -(uv[u[k]] * (iv[i[k]] - iv[j])).sum(1)).sum()), len(k)
-                parts = [pd.DataFrame({"side": np.int32(side), "id": ids[side], "v": list(t[0]), "m": list(t[1]), "s": list(t[2]), "n": t[3].astype(np.int32), "loss": 0.0, "pairs": 0}) for side, t in enumerate(tables)]
+                parts = [pd.DataFrame({"side": np.int32(side), "id": ids[side], "v": _bytes(t[0]), "m": _bytes(t[1]), "s": _bytes(t[2]), "n": t[3].astype(np.int32), "loss": 0.0, "pairs": 0}) for side, t in enumerate(tables)]
                 parts.append(pd.DataFrame({"side": [np.int32(3)], "id": [0], "v": [None], "m": [None], "s": [None], "n": [np.int32(0)], "loss": [loss], "pairs": [n]}))
                 return pd.concat(parts, ignore_index=True)[[c.split()[0] for c in _OUT.split(", ")]]  # without a missing value, or ids become floats
 
@@ -142,7 +177,7 @@ def train(pairs: DataFrame, dim: int = 32, epochs: int = 100, patience: int = 8,
             best = (losses[-1], state, epoch)
         elif epoch - best[2] >= patience:
             break
-    side = lambda k: best[1].where(F.col("side") == k).select("id", "v")
+    side = lambda k: _vectors(best[1].where(F.col("side") == k), dim)
     return Factors(side(0), side(1), losses, best[2])
 
 
